@@ -119,10 +119,11 @@ def _finish_raw(layer: Layer) -> Callable:
 
 def _mean_over(links: DataFrame, state: DataFrame, column: str, width: int, hot: DataFrame) -> DataFrame:
     """Mean of a neighbour's array per receiving node; sums combine map-side before the shuffle."""
-    sent = state.select(F.col("node_id").alias("peer"), *[F.col(column)[i].cast("double").alias(f"x{i}") for i in range(width)])
+    places = range(width)
+    sent = state.selectExpr("node_id AS peer", *[f"CAST({column}[{i}] AS double) AS x{i}" for i in places])
     met = salted_join(links, sent, ["peer"], hot, ["node_id"])
-    sums = met.groupBy("node_id").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(width)])
-    return sums.select("node_id", F.array(*[F.col(f"s{i}") / F.col("n") for i in range(width)]).alias("mean"))
+    sums = met.groupBy("node_id").agg(F.expr("count(*) AS n"), *[F.expr(f"sum(x{i}) AS s{i}") for i in places])
+    return sums.selectExpr("node_id", f"array({', '.join(f's{i} / n' for i in places)}) AS mean")
 
 
 def embed(
@@ -156,7 +157,7 @@ def embed(
             finish, carried, width = _finish_raw(layer), "h", wide
         sent = materialize(sent, f"layer-{n}-sent")
         mean = _mean_over(links, sent, "msg", width, hot)
-        alone = F.col("msg").cast("array<double>") if lonely == "own" else F.array(*[F.lit(0.0)] * width)
+        alone = F.col("msg").cast("array<double>") if lonely == "own" else F.array_repeat(F.lit(0.0), width)
         joined = sent.join(mean, "node_id", "left").select(
             "node_id", carried, F.coalesce("mean", alone).cast(f"array<{kind}>").alias("m")
         )

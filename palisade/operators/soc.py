@@ -193,3 +193,23 @@ def node_card(nodes: DataFrame, node_id: str) -> DataFrame:
     return nodes.where(F.col("node_id") == node_id).select(
         "node_id", "node_type", "sensitivity", "is_critical", "ip_address", F.lit("").alias("hostname")
     )
+
+
+def alert_headers(scores: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """One short alert per detection pass (``as_of`` column) that flagged something."""
+    flagged = scores.where("is_flagged").groupBy("as_of").agg(
+        F.count("*").alias("total_flagged_edges"), F.max("total_score").alias("max_score")
+    )
+    if paths is None:
+        rated = flagged.withColumn("max_risk_score", F.lit(0.0))
+    else:
+        worst = paths.groupBy("as_of").agg(F.max("risk_score").alias("max_risk_score"))
+        rated = flagged.join(worst, "as_of", "left").withColumn(
+            "max_risk_score", F.coalesce("max_risk_score", F.lit(0.0))
+        )
+    return rated.select(
+        X.natural_id(F.lit("alert"), X.micros("as_of").cast("string")).alias("alert_id"),
+        X.severity(F.col("max_risk_score")).alias("severity"),
+        F.col("as_of").alias("created_at"),
+        "total_flagged_edges", "max_score", "max_risk_score",
+    )
