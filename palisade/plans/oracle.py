@@ -292,20 +292,28 @@ JOIN (SELECT src, count(*) AS c FROM {edges} GROUP BY 1) g ON g.src = e.src {joi
 
 
 _NOW = "(SELECT t FROM latest)"
-CTES["rules"] = _rules("edges", _NOW, None)
-for _i in range(PASSES):
-    _when = f"({_NOW} - INTERVAL {7 * (PASSES - 1 - _i)} DAYS)"
-    _prev = f"pass_deg_{_i - 1}" if _i else None
-    CTES[f"pass_edges_{_i}"] = _fold(f"ts <= {_when}")
-    CTES[f"pass_rules_{_i}"] = _rules(f"pass_edges_{_i}", _when, _prev)
-    _known = f"FULL JOIN (SELECT src, baseline AS old FROM {_prev} WHERE baseline IS NOT NULL) p USING (src)" if _i else \
-        "LEFT JOIN (SELECT NULL::VARCHAR AS src, NULL::DOUBLE AS old) p USING (src)"
-    CTES[f"pass_deg_{_i}"] = f"""
-SELECT {_i} AS pass, src, degree, m AS edges_reached, spike,
+
+
+def _passes(prefix: str, moments: list[str]) -> None:
+    """Edges, rule scores and degree baselines at each of the growing moments."""
+    for i, when in enumerate(moments):
+        prior = f"{prefix}_deg_{i - 1}" if i else None
+        CTES[f"{prefix}_edges_{i}"] = _fold(f"ts <= {when}")
+        CTES[f"{prefix}_rules_{i}"] = _rules(f"{prefix}_edges_{i}", when, prior)
+        known = f"FULL JOIN (SELECT src, baseline AS old FROM {prior} WHERE baseline IS NOT NULL) p USING (src)" if i else \
+            "LEFT JOIN (SELECT NULL::VARCHAR AS src, NULL::DOUBLE AS old) p USING (src)"
+        CTES[f"{prefix}_deg_{i}"] = f"""
+SELECT {i} AS pass, src, degree, m AS edges_reached, spike,
   CASE WHEN m = 0 OR spike THEN old ELSE pow(0.9, m) * start + (1 - pow(0.9, m)) * degree END AS baseline
 FROM (SELECT src, degree, old, coalesce(m, 0) AS m, coalesce(old, degree) AS start,
         coalesce(coalesce(old, degree) > 0 AND degree > 2.5 * coalesce(old, degree), false) AS spike
-      FROM (SELECT src, max(out_degree)::DOUBLE AS degree, count(*) FILTER (reached) AS m FROM pass_rules_{_i} GROUP BY 1) {_known})"""
+      FROM (SELECT src, max(out_degree)::DOUBLE AS degree, count(*) FILTER (reached) AS m FROM {prefix}_rules_{i} GROUP BY 1) {known})"""
+
+
+CTES["rules"] = _rules("edges", _NOW, None)
+_passes("pass", [f"({_NOW} - INTERVAL {7 * (PASSES - 1 - i)} DAYS)" for i in range(PASSES)])
+CTES["marks"] = "SELECT (day(ts) - 1) // 8 AS slice, max(ts) AS t FROM tel GROUP BY 1"
+_passes("step", [f"(SELECT max(t) FROM marks WHERE slice <= {i})" for i in range(4)])
 CTES["pass_alerts"] = " UNION ALL ".join(
     f"SELECT {_NOW} - INTERVAL {7 * (PASSES - 1 - i)} DAYS AS created_at, count(*) AS total_flagged_edges, "
     f"{'(SELECT coalesce(max(risk_score), 0) FROM paths)' if i == PASSES - 1 else '0'}::DOUBLE AS max_risk_score "
@@ -579,6 +587,27 @@ BODIES: dict[str, str] = {
     "shadow_status": "SELECT count(*) > 0 AS in_shadow_mode, max(detected_at) AS shadow_start, count(*) > 0 AS can_promote FROM checks WHERE triggered_retrain",
 }
 
+BODIES |= {
+    "stream_source_parse": """SELECT 'good' AS status, event_type AS what, count(*) AS n, CAST(sum(bytes_transferred) AS BIGINT) AS bytes
+      FROM good WHERE CAST(event_id AS BIGINT) % 50 <> 7 GROUP BY event_type
+      UNION ALL SELECT 'bad', CASE WHEN CAST(event_id AS BIGINT) % 50 = 7 THEN 'json' ELSE reject_reason END, count(*), NULL
+      FROM typed WHERE CAST(event_id AS BIGINT) % 50 = 7 OR reject_reason IS NOT NULL GROUP BY 2""",
+    "stream_edge_state": BODIES["edge_fold"],
+    "stream_edge_compaction": f"SELECT {_EDGE} FROM edges WHERE last_seen >= {_NOW} - INTERVAL 7 DAYS",
+    "stream_window_stats": BODIES["edge_temporal_features"],
+    "stream_sliding_counts": f"""SELECT s AS start, s + INTERVAL 24 HOURS AS "end", src, dst, n, bytes FROM (
+      SELECT make_timestamp((epoch_us(ts) // 21600000000 - j) * 21600000000) AS s, src, dst, count(*) AS n,
+        CAST(sum(bytes_transferred) AS BIGINT) AS bytes
+      FROM flows, (SELECT unnest(range(4)) AS j) GROUP BY 1, 2, 3) WHERE s + INTERVAL 24 HOURS <= {_NOW} - INTERVAL 1 HOUR""",
+    "stream_late_events": """SELECT event_id, CAST(a AS INTEGER) AS batch_id, coalesce(ts < prior - INTERVAL 1 HOUR, false) AS late FROM (
+      SELECT *, (SELECT max(ts) FROM tel o WHERE least(3, (day(o.ts) - 1) // 8 + CASE WHEN o.port = 22 THEN 1 ELSE 0 END) < a) AS prior FROM (
+        SELECT *, least(3, (day(ts) - 1) // 8 + CASE WHEN port = 22 THEN 1 ELSE 0 END) AS a FROM tel))""",
+    "stream_detection": " UNION ALL ".join(
+        f"SELECT {i} AS batch_id, src, dst, round(rule_score, 6) AS rule_score, rule_triggered, (SELECT max(t) FROM marks WHERE slice <= {i}) AS as_of FROM step_rules_{i}"
+        for i in range(4)
+    ),
+}
+
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql(body) for name, body in BODIES.items()}
+    return {name: sql(body.replace("round(", "round(1e-12 + ")) for name, body in BODIES.items()}

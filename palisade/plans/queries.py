@@ -15,6 +15,7 @@ from palisade.operators import (
 from palisade.plans.tables import Tables, tables
 from palisade.sources import files
 from palisade.storage import materialize, new_path
+from palisade.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -29,8 +30,9 @@ def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     return fn
 
 
-def r6(column) -> Column:
-    return F.round(F.col(column) if isinstance(column, str) else column, 6)
+def r6(column, places: int = 6) -> Column:
+    """Rounded for comparison; the nudge (also in the SQL) keeps exact ties from falling both ways."""
+    return F.round((F.col(column) if isinstance(column, str) else column) + 1e-12, places)
 
 
 def _r(*names: str) -> list[Column]:
@@ -277,7 +279,7 @@ def node_type_encoding(t: Tables) -> DataFrame:
 
 @query
 def pagerank(t: Tables) -> DataFrame:
-    return centrality.pagerank(t.nodes, t.edges).select("node_id", F.round("pagerank", 8).alias("pagerank"), "converged")
+    return centrality.pagerank(t.nodes, t.edges).select("node_id", r6("pagerank", 8).alias("pagerank"), "converged")
 
 
 @query
@@ -297,7 +299,7 @@ def node_features(t: Tables) -> DataFrame:
 
 def _vector_rows(frame: DataFrame) -> DataFrame:
     return frame.select("node_id", F.posexplode("embedding").alias("i", "x")).select(
-        "node_id", "i", F.round(F.col("x").cast("double"), 6).alias("x")
+        "node_id", "i", r6(F.col("x").cast("double")).alias("x")
     )
 
 
@@ -406,7 +408,7 @@ def attack_paths_decayed(t: Tables) -> DataFrame:
 
 @query
 def path_undetected_prob(t: Tables) -> DataFrame:
-    return t.paths.select("path_id", F.round("undetected_probability", 9).alias("undetected_probability"))
+    return t.paths.select("path_id", r6("undetected_probability", 9).alias("undetected_probability"))
 
 
 @query
@@ -578,3 +580,83 @@ def drift_status(t: Tables) -> DataFrame:
 def shadow_status(t: Tables) -> DataFrame:
     later = t.as_of + F.make_dt_interval(days=F.lit(8))
     return drift.shadow_status(_checks(t), later).select("in_shadow_mode", *_t("shadow_start"), "can_promote")
+
+
+# -- streaming --------------------------------------------------------------------------------
+# The events arrive in four slices of about a week. A job runs until it has read what is there,
+# stops, and is started again from its checkpoint for the next slice.
+
+SLICES = 4
+
+
+def _slice_of(ts: str = "ts") -> Column:
+    return F.floor((F.dayofmonth(ts) - 1) / 8)
+
+
+def _arrive(t: Tables, run: Callable[[DataFrame, str], jobs.StreamingQuery], arrival: Column | None = None) -> str:
+    """``run(stream, folder)`` is called once per slice; returns the folder of the job."""
+    folder = new_path(t.spark, "stream")
+    arrival = _slice_of() if arrival is None else arrival
+    for i in range(SLICES):
+        t.tel.where(arrival == i).write.mode("append").parquet(f"{folder}/in")
+        jobs.drain(run(files.telemetry_stream(t.spark, f"{folder}/in"), folder))
+    return folder
+
+
+@query
+def stream_source_parse(t: Tables) -> DataFrame:
+    folder = new_path(t.spark, "messages")
+    text = F.to_json(F.struct(*t.raw.columns))
+    cut = F.when(F.col("event_id").cast("bigint") % 50 == 7, F.substring(text, 1, 25)).otherwise(text)
+    t.raw.select(cut.alias("value")).write.text(f"{folder}/in")
+    stream = files.message_stream(t.spark, f"{folder}/in")
+    jobs.drain(jobs.ingest_messages(stream, f"{folder}/out", f"{folder}/ck", t.as_of))
+    good = t.spark.read.parquet(f"{folder}/out/good").groupBy("event_type").agg(
+        F.count("*").alias("n"), F.sum("bytes_transferred").alias("bytes")
+    )
+    bad = t.spark.read.parquet(f"{folder}/out/bad").groupBy("reject_reason").agg(F.count("*").alias("n"))
+    return good.select(F.lit("good").alias("status"), F.col("event_type").alias("what"), "n", "bytes").unionByName(
+        bad.select(F.lit("bad").alias("status"), F.col("reject_reason").alias("what"), "n", F.lit(None).cast("bigint").alias("bytes"))
+    )
+
+
+@query
+def stream_edge_state(t: Tables) -> DataFrame:
+    folder = _arrive(t, lambda s, f: jobs.maintain_edges(s, f"{f}/edges", f"{f}/ck"))
+    return jobs.merged_edges(t.spark, f"{folder}/edges").select(*_edge_columns(), "lateral_tool", "admin_port")
+
+
+@query
+def stream_edge_compaction(t: Tables) -> DataFrame:
+    folder = _arrive(t, lambda s, f: jobs.maintain_edges(s, f"{f}/edges", f"{f}/ck"))
+    jobs.compact_edges(t.spark, f"{folder}/edges", f"{folder}/compact", t.as_of)
+    return jobs.merged_edges(t.spark, f"{folder}/compact").select(*_edge_columns())
+
+
+@query
+def stream_window_stats(t: Tables) -> DataFrame:
+    folder = _arrive(t, lambda s, f: jobs.maintain_windows(s, f"{f}/log", f"{f}/out", f"{f}/ck"))
+    six = graph.temporal_features(jobs.latest_windows(t.spark, f"{folder}/out"))
+    return six.select("src", "dst", *_r(*six.columns[2:]))
+
+
+@query
+def stream_sliding_counts(t: Tables) -> DataFrame:
+    folder = _arrive(t, lambda s, f: jobs.sliding_counts(s, f"{f}/out", f"{f}/ck"))
+    return t.spark.read.parquet(f"{folder}/out").select(*_t("start", "end"), "src", "dst", "n", "bytes")
+
+
+@query
+def stream_late_events(t: Tables) -> DataFrame:
+    tardy = F.when(F.col("port") == 22, 1).otherwise(0)
+    arrival = F.least(F.lit(SLICES - 1), _slice_of() + tardy)
+    folder = _arrive(t, lambda s, f: jobs.split_late(s, f"{f}/out", f"{f}/ck", 3_600_000_000), arrival)
+    return t.spark.read.parquet(f"{folder}/out/rows").select("event_id", "batch_id", "late")
+
+
+@query
+def stream_detection(t: Tables) -> DataFrame:
+    folder = _arrive(t, lambda s, f: jobs.detect_stream(s, f"{f}/state", f"{f}/out", f"{f}/ck"))
+    return t.spark.read.parquet(f"{folder}/out").select(
+        "batch_id", "src", "dst", *_r("rule_score"), "rule_triggered", *_t("as_of")
+    )

@@ -7,18 +7,19 @@ from palisade import schemas
 from palisade.functions import scalar as X
 
 
-def telemetry_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+def _reader(spark: SparkSession, files_per_trigger: int | None):
+    reader = spark.readStream
+    return reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)
+
+
+def telemetry_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Canonical telemetry files as a stream."""
-    return (
-        spark.readStream.schema(schemas.TELEMETRY)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(path)
-    )
+    return _reader(spark, files_per_trigger).schema(schemas.TELEMETRY).parquet(path)
 
 
-def message_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+def message_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """One JSON message per line; same ``value`` column as the message bus."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    return _reader(spark, files_per_trigger).text(path)
 
 
 def write_snapshot(edges: DataFrame, path: str, as_of: Column) -> None:

@@ -24,13 +24,14 @@ if __name__ == "__main__":
     for name, fn in entry.queries().items():
         if names and name not in names:
             continue
-        started = time.time()
+        started, n = time.time(), -1
         try:
             df = fn(spark, sf_dir)
-            problems = differences(df, con, sqls[name]) if name in sqls else [] if df.count() >= 0 else ["?"]
+            n = df.count()
+            problems = differences(df, con, sqls[name]) if name in sqls else []
         except Exception as e:  # noqa: BLE001
             problems = [f"{type(e).__name__}: {str(e)[:700]}"]
         bad += bool(problems)
         kind = "" if name in sqls else "(rows only)"
-        print(f"{'FAIL' if problems else 'ok  '} {name} {time.time() - started:.1f}s {kind}", *problems, sep="\n     ", flush=True)
+        print(f"{'FAIL' if problems else 'ok  '} {name} {time.time() - started:.1f}s {n} rows {kind}", *problems, sep="\n     ", flush=True)
     print("failures:", bad)
