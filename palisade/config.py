@@ -108,7 +108,7 @@ class Settings:
     rank_rounds: int = 50
     # skew: a key is hot when it holds more than `hot_min_rows` rows and more than
     # 1/hot_share of the table, so there are always fewer than hot_share hot keys.
-    hot_share: int = 10_000
+    hot_share: int = 100_000
     hot_min_rows: int = 1_000_000
     slice_us: int = MINUTE_US
     # alert payload paging

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import DEFAULT, Settings
 from palisade.functions import scalar as X
+from palisade.operators.skew import hot_keys, salted_join
 
 CLASSES = ("AUTO_ISOLATE", "SOC_ALERT")
 
@@ -102,13 +103,20 @@ def firewall_rules(
     )
 
 
-def applied_rules(rules: DataFrame, actions: DataFrame) -> DataFrame:
-    return rules.join(actions.where("auto_applied").select("action_id"), "action_id", "left_semi")
+def _by_action(rules: DataFrame, ids: DataFrame, how: str, cfg: Settings) -> DataFrame:
+    """An action may own a large share of all rules, so its rules are salted."""
+    owned = rules.groupBy("action_id").agg(F.count("*").alias("n"))
+    hot = hot_keys(owned, ["action_id"], "n", cfg)
+    return salted_join(rules, ids.select("action_id").distinct(), ["action_id"], hot, ["rule_id"], how).select(rules.columns)
 
 
-def rollback_rules(rules: DataFrame, rollbacks: DataFrame) -> DataFrame:
+def applied_rules(rules: DataFrame, actions: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    return _by_action(rules, actions.where("auto_applied"), "left_semi", cfg)
+
+
+def rollback_rules(rules: DataFrame, rollbacks: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Rules that stay in force after ``rollbacks`` (action_id)."""
-    return rules.join(rollbacks.select("action_id").distinct(), "action_id", "left_anti")
+    return _by_action(rules, rollbacks, "left_anti", cfg)
 
 
 def rollback_status(actions: DataFrame, rollbacks: DataFrame) -> DataFrame:

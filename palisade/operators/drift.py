@@ -107,11 +107,13 @@ def psi(values: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 def _long_form(history: DataFrame) -> DataFrame:
     """ts plus three arrays -> one row per value, feature = group:position."""
-    stacked = None
-    for g in GROUPS:
-        rows = history.select("ts", F.lit(g).alias("feature_group"), F.posexplode(g).alias("pos", "v"))
-        stacked = rows if stacked is None else stacked.unionByName(rows)
-    return stacked.withColumn("feature", F.concat("feature_group", F.lit(":"), F.col("pos").cast("string")))
+    def cells(g: str) -> Column:
+        return F.transform(
+            g, lambda v, i: F.struct(F.lit(g).alias("feature_group"), i.alias("pos"), v.cast("double").alias("v"))
+        )
+
+    rows = history.select("ts", F.explode(F.concat(*[cells(g) for g in GROUPS])).alias("c")).select("ts", "c.*")
+    return rows.withColumn("feature", F.concat("feature_group", F.lit(":"), F.col("pos").cast("string")))
 
 
 def retained(history: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:

@@ -7,6 +7,7 @@ from palisade.config import DEFAULT, Settings
 from palisade.functions import scalar as X
 from palisade.functions import vectors as V
 from palisade.operators.centrality import clustering, pagerank
+from palisade.storage import together
 
 BEHAVIORAL = (
     "out_degree", "in_degree", "peers_out", "peers_in", "max_out_weight", "mean_out_weight",
@@ -61,9 +62,9 @@ def structural(nodes: DataFrame, edges: DataFrame, cfg: Settings = DEFAULT) -> D
     total = nodes.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
     out = edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("o"))
     back = edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("i"))
+    ranks, closure = together(lambda: pagerank(nodes, edges, cfg), lambda: clustering(nodes, edges, cfg))
     return (
-        pagerank(nodes, edges, cfg)
-        .join(clustering(nodes, edges, cfg), "node_id")
+        ranks.join(closure, "node_id")
         .join(out, "node_id", "left")
         .join(back, "node_id", "left")
         .select(

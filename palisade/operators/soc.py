@@ -8,6 +8,7 @@ from palisade.config import DEFAULT, Settings
 from palisade.functions import scalar as X
 from palisade.operators.detect import flagged_edges, ranked
 from palisade.operators.paths import by_risk
+from palisade.operators.skew import hot_keys, salted_join
 
 
 def event_tactics(tel: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -139,11 +140,11 @@ def alert_messages(alerts: DataFrame, nodes: DataFrame, cfg: Settings = DEFAULT)
     header = alerts.withColumn(
         "pages", F.greatest(F.lit(1), F.ceil(F.col("node_count") / F.lit(cfg.nodes_per_page))).cast("int")
     )
-    # alerts are one row per detection pass; only their page counts meet the node rows
     pages = header.select("alert_id", "pages")
+    hot = hot_keys(nodes.groupBy("alert_id").agg(F.count("*").alias("n")), ["alert_id"], "n", cfg)
     digest = F.conv(F.substring(F.md5("node_id"), 1, 8), 16, 10).cast("bigint")
     listed = (
-        nodes.join(pages, "alert_id")
+        salted_join(nodes, pages, ["alert_id"], hot, ["node_id"])
         .groupBy("alert_id", F.pmod(digest, F.col("pages")).cast("int").alias("page"))
         .agg(F.array_sort(F.collect_list("node_id")).alias("compromised_nodes"))
     )

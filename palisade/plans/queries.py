@@ -12,6 +12,7 @@ from palisade.functions import vectors as V
 from palisade.operators import (
     centrality, contain, detect, drift, embed, features, graph, paths, soc, telemetry, windows,
 )
+from palisade.operators.skew import hot_keys, salted_join
 from palisade.plans.tables import Tables, tables
 from palisade.sources import files
 from palisade.storage import materialize, new_path
@@ -326,9 +327,11 @@ def sage_embeddings_in(t: Tables) -> DataFrame:
 @query
 def cosine_distance(t: Tables) -> DataFrame:
     vectors = t.spark.read.parquet(f"{t.sf_dir}/embeddings.parquet")
-    first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("anchor"))
-    # one anchor per label; labels are a closed set of classes
-    return vectors.join(first, "label").select(
+    first = vectors.groupBy("label").agg(
+        F.min_by("embedding", "vec_id").alias("anchor"), F.count("*").alias("n")
+    )
+    hot = hot_keys(first, ["label"], "n")
+    return salted_join(vectors, first.drop("n"), ["label"], hot, ["vec_id"]).select(
         "vec_id", r6(V.cosine_distance(F.col("embedding"), F.col("anchor"))).alias("distance")
     )
 
@@ -629,8 +632,9 @@ def stream_edge_state(t: Tables) -> DataFrame:
 @query
 def stream_edge_compaction(t: Tables) -> DataFrame:
     folder = _arrive(t, lambda s, f: jobs.maintain_edges(s, f"{f}/edges", f"{f}/ck"))
-    jobs.compact_edges(t.spark, f"{folder}/edges", f"{folder}/compact", t.as_of)
-    return jobs.merged_edges(t.spark, f"{folder}/compact").select(*_edge_columns())
+    jobs.compact_edges(t.spark, f"{folder}/edges")
+    merged = jobs.merged_edges(t.spark, f"{folder}/edges")
+    return graph.prune_edges(merged, t.as_of).select(*_edge_columns())
 
 
 @query

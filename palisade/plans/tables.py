@@ -9,7 +9,7 @@ from palisade import config as C
 from palisade.config import DEFAULT, Settings
 from palisade.operators import contain, detect, embed, features, graph, paths, soc, telemetry
 from palisade.sources import fixtures
-from palisade.storage import materialize
+from palisade.storage import materialize, together
 
 PASSES = 4
 
@@ -54,7 +54,8 @@ class Tables:
 
     @cached_property
     def weighted(self) -> DataFrame:
-        return materialize(graph.weigh_edges(self.edges, self.windows, self.nodes, self.cfg), "weighted")
+        edges, windows, nodes = together(lambda: self.edges, lambda: self.windows, lambda: self.nodes)
+        return materialize(graph.weigh_edges(edges, windows, nodes, self.cfg), "weighted")
 
     @cached_property
     def live(self) -> DataFrame:
@@ -62,7 +63,7 @@ class Tables:
 
     @cached_property
     def features(self) -> DataFrame:
-        activity = graph.node_windows(self.tel, self.cfg)
+        activity, _ = together(lambda: graph.node_windows(self.tel, self.cfg), lambda: self.weighted)
         return materialize(
             features.assemble(self.nodes, self.weighted, activity, self.as_of, self.cfg), "features"
         )
@@ -78,7 +79,9 @@ class Tables:
 
     @cached_property
     def scores(self) -> DataFrame:
-        first = embed.update_baseline(self.embeddings, None, self.cfg)
+        self.weighted  # both builds below read it
+        embeddings, _ = together(lambda: self.embeddings, lambda: self.rules)
+        first = embed.update_baseline(embeddings, None, self.cfg)
         return materialize(
             detect.score_edges(self.weighted, self.nodes, self.windows, self.rules, first, self.as_of, self.cfg),
             "scores",
@@ -106,6 +109,8 @@ class Tables:
 
     @cached_property
     def alert(self) -> DataFrame:
+        self.weighted  # both builds below read it
+        together(lambda: self.scores, lambda: self.firewall)
         return materialize(
             soc.build_alert(self.scores, self.paths, self.actions, self.firewall, self.tel, self.as_of), "alert"
         )

@@ -7,6 +7,8 @@ gives the optimizer real sizes to decide joins on.
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +36,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(*builds: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Run independent builds at the same time, so that the tail of one job overlaps the next."""
+    with ThreadPoolExecutor(len(builds)) as pool:
+        return [f.result() for f in [pool.submit(b) for b in builds]]
