@@ -51,9 +51,33 @@ IMPACT = {LOW: 0.1, MEDIUM: 0.4, HIGH: 0.7, CRITICAL: 1.0}
 CRITICAL_BONUS = 0.2
 UNKNOWN_IMPACT = 0.1
 
+# Rule names.
+RULE_SENSITIVE = "R1:new_edge_to_sensitive"
+RULE_NEW = "R1:new_edge"
+RULE_TOOL = "R2:lateral_movement_tool"
+RULE_PORT = "R3:admin_port_"
+RULE_SPIKE = "R4:degree_spike"
+# Reasons of firewall rules; {risk} has two decimals.
+REASON_NODE = "Compromised node isolation (risk={risk})"
+REASON_EDGE = "Attack path edge block (risk={risk})"
+# Alert texts.
+ALERT_TITLE = "[{severity}] Potential Lateral Movement Detected — {nodes} node(s)"
+ALERT_FLAGGED = "GNN anomaly detector flagged {edges} suspicious edges."
+ALERT_WORST = " Highest risk path: {source} → {target} (risk={risk}, hops={hops})"
+ADVICE_ISOLATED = "Automated isolation applied ({rules} rules active)."
+ADVICE_REVIEW = "Review and approve prepared containment policies in the dashboard."
+ADVICE_MANUAL = "Initiate manual incident response process."
+ADVICE_PATH = "Investigate path: {path} (risk={risk})."
+ADVICE_CLOSING = (
+    "Conduct forensic analysis of all compromised nodes.",
+    "Reset credentials for all users associated with compromised workloads.",
+)
+
 
 @dataclass(frozen=True)
 class Settings:
+    """Fixed values of the method (weights, thresholds, windows, model), and tunables at the end."""
+
     # edge weight blend
     w_frequency: float = 0.4
     w_sensitivity: float = 0.3

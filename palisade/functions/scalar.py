@@ -1,6 +1,7 @@
 """Column expressions. All are built-in functions, so they stay inside whole-stage codegen."""
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -149,6 +150,12 @@ def natural_id(*parts) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def fill(template: str, **values: Column) -> Column:
+    """``template`` with each {name} replaced by a column; null if a column is null."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
 def two_places(name: str) -> Column:
     """Text with two decimals, halves to even."""
     return F.call_function("format_number", F.col(name), F.lit("0.00"))

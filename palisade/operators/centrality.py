@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import DEFAULT, Settings
 from palisade.operators.skew import hot_keys, replicate, salted_join, spread
-from palisade.storage import materialize
+from palisade.storage import discard, materialize, store
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -40,7 +40,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, cfg: Settings = DEFAULT) -> Dat
         return row["change"], row["loose"]
 
     ranks = base.select("*", F.lit(1.0 / max(total, 1)).alias("rank"), F.lit(0.0).alias("change"))
-    converged = False
+    converged, previous, spark = False, None, nodes.sparkSession
     loose = measure(ranks)[1] if total else 0.0
     for round_no in range(cfg.rank_rounds if total else 0):
         sent = replicate(
@@ -55,13 +55,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, cfg: Settings = DEFAULT) -> Dat
         fresh = cfg.damping * (F.coalesce("inflow", F.lit(0.0)) + F.lit(loose / total)) + F.lit(
             (1.0 - cfg.damping) / total
         )
-        ranks = materialize(
+        ranks, stored = store(
             ranks.select("node_id", "out_degree", F.col("rank").alias("old"))
             .join(received, "node_id", "left")
             .withColumn("rank", fresh)
             .select("node_id", "out_degree", "rank", F.abs(F.col("rank") - F.col("old")).alias("change")),
             f"rank-{round_no}",
         )
+        if previous is not None:
+            discard(spark, previous)
+        previous = stored
         change, loose = measure(ranks)
         if change < total * cfg.rank_tolerance:
             converged = True

