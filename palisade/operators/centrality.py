@@ -22,9 +22,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, cfg: Settings = DEFAULT) -> Dat
     ids = nodes.select("node_id")
     total = ids.count()
     degree = edges.groupBy("src").agg(F.count("*").alias("out_degree"))
-    hot = materialize(hot_keys(degree, ["src"], "out_degree", cfg), "hot-src").withColumnRenamed("src", "node_id")
+    ends = edges.select(F.col("src").alias("node_id"), "dst")
+    out_rows = ends.groupBy("node_id").agg(F.count("*").alias("n"))
+    hot = hot_keys(out_rows, ["node_id"], "n", cfg, edges.count())
     links = (
-        spread(edges.select(F.col("src").alias("node_id"), "dst"), ["node_id"], hot, ["dst"])
+        spread(ends, ["node_id"], hot, ["dst"])
         .repartition("node_id", "_salt")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
@@ -88,12 +90,13 @@ def clustering(nodes: DataFrame, edges: DataFrame, cfg: Settings = DEFAULT) -> D
     pair = materialize(pair, "undirected")
     ends = pair.select(F.explode(F.array("a", "b")).alias("node_id"))
     degree = materialize(ends.groupBy("node_id").agg(F.count("*").alias("degree")), "degree")
-    hot = hot_keys(degree, ["node_id"], "degree", cfg)
+    pairs = pair.count()
+    hot = hot_keys(degree, ["node_id"], "degree", cfg, 2 * pairs)
 
     def with_degree(df: DataFrame, end: str, other: str) -> DataFrame:
         return salted_join(
             df, degree.withColumnsRenamed({"node_id": end, "degree": f"deg_{end}"}), [end],
-            hot.withColumnRenamed("node_id", end), [other],
+            hot and hot.withColumnRenamed("node_id", end), [other],
         )
 
     both = with_degree(with_degree(pair, "a", "b"), "b", "a")
@@ -112,7 +115,7 @@ def clustering(nodes: DataFrame, edges: DataFrame, cfg: Settings = DEFAULT) -> D
     per_edge = salted_join(
         oriented.join(above, "lo"),
         above.withColumnsRenamed({"lo": "hi", "above": "above_hi"}), ["hi"],
-        hot_keys(heads, ["hi"], "n", cfg), ["lo"],
+        hot_keys(heads, ["hi"], "n", cfg, pairs), ["lo"],
     ).select("lo", "hi", F.array_intersect("above", "above_hi").alias("third")).where(F.size("third") > 0)
     closed = F.size("third").cast("bigint")
     corners = F.flatten(

@@ -12,11 +12,12 @@ from palisade.operators.skew import hot_keys, salted_join
 
 
 def _attach_ends(edges: DataFrame, src_side: DataFrame, dst_side: DataFrame, cfg: Settings) -> DataFrame:
-    """Join per-node tables (keyed src / dst) to edges; hubs are salted on either side."""
+    """Join per-node tables (keyed src / dst) to stored edges; hubs are salted on either side."""
     out_rows = edges.groupBy("src").agg(F.count("*").alias("n"))
     in_rows = edges.groupBy("dst").agg(F.count("*").alias("n"))
-    joined = salted_join(edges, src_side, ["src"], hot_keys(out_rows, ["src"], "n", cfg), ["dst"], "left")
-    return salted_join(joined, dst_side, ["dst"], hot_keys(in_rows, ["dst"], "n", cfg), ["src"], "left")
+    rows = edges.count()
+    joined = salted_join(edges, src_side, ["src"], hot_keys(out_rows, ["src"], "n", cfg, rows), ["dst"], "left")
+    return salted_join(joined, dst_side, ["dst"], hot_keys(in_rows, ["dst"], "n", cfg, rows), ["src"], "left")
 
 
 def _node_sides(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

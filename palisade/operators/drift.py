@@ -107,13 +107,17 @@ def psi(values: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 def _long_form(history: DataFrame) -> DataFrame:
     """ts plus three arrays -> one row per value, feature = group:position."""
-    def cells(g: str) -> Column:
-        return F.transform(
-            g, lambda v, i: F.struct(F.lit(g).alias("feature_group"), i.alias("pos"), v.cast("double").alias("v"))
-        )
-
-    rows = history.select("ts", F.explode(F.concat(*[cells(g) for g in GROUPS])).alias("c")).select("ts", "c.*")
-    return rows.withColumn("feature", F.concat("feature_group", F.lit(":"), F.col("pos").cast("string")))
+    first, second, third = GROUPS
+    rows = history.select(
+        "ts", F.size(first).alias("n1"), F.size(second).alias("n2"),
+        F.posexplode(F.concat(*GROUPS)).alias("at", "v"),
+    )
+    group = F.when(F.expr("at < n1"), first).when(F.expr("at < n1 + n2"), second).otherwise(third)
+    pos = F.expr("CASE WHEN at < n1 THEN at WHEN at < n1 + n2 THEN at - n1 ELSE at - n1 - n2 END")
+    return rows.select(
+        "ts", group.alias("feature_group"), F.concat(group, F.lit(":"), pos.cast("string")).alias("feature"),
+        F.col("v").cast("double").alias("v"),
+    )
 
 
 def retained(history: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:

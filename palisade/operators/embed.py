@@ -117,7 +117,7 @@ def _finish_raw(layer: Layer) -> Callable:
     return lambda h, mean: (act(h @ layer.own + mean @ layer.peers + layer.bias),)
 
 
-def _mean_over(links: DataFrame, state: DataFrame, column: str, width: int, hot: DataFrame) -> DataFrame:
+def _mean_over(links: DataFrame, state: DataFrame, column: str, width: int, hot: DataFrame | None) -> DataFrame:
     """Mean of a neighbour's array per receiving node; sums combine map-side before the shuffle."""
     places = range(width)
     sent = state.selectExpr("node_id AS peer", *[f"CAST({column}[{i}] AS double) AS x{i}" for i in places])
@@ -141,9 +141,7 @@ def embed(
     """
     receiver, peer = ("src", "dst") if direction == "out" else ("dst", "src")
     links = edges.select(F.col(receiver).alias("node_id"), F.col(peer).alias("peer"))
-    hot = materialize(
-        hot_keys(links.groupBy("peer").agg(F.count("*").alias("n")), ["peer"], "n", cfg), "hot-peer"
-    )
+    hot = hot_keys(links.groupBy("peer").agg(F.count("*").alias("n")), ["peer"], "n", cfg, links.count())
     dtype = layers[0].own.dtype
     kind = "float" if dtype == np.float32 else "double"
     state = features.select("node_id", F.col("vector").cast(f"array<{kind}>").alias("h"))

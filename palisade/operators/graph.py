@@ -149,6 +149,7 @@ def weigh_edges(
     """
     out_rows = edges.groupBy("src").agg(F.max("event_count").alias("busiest"), F.count("*").alias("n"))
     in_rows = edges.groupBy("dst").agg(F.count("*").alias("n"))
+    rows = edges.count()
     gap = temporal_deviation(windows, cfg).withColumnRenamed("deviation", "deviation_score")
     scored = edges.join(gap, ["src", "dst"], "left").withColumn(
         "deviation_score", F.coalesce("deviation_score", F.lit(0.0))
@@ -156,13 +157,13 @@ def weigh_edges(
 
     levels = nodes.select(F.col("node_id").alias("dst"), "since_2", "since_3", "since_4")
     scored = salted_join(
-        scored, levels, ["dst"], hot_keys(in_rows, ["dst"], "n", cfg), ["src"], "left"
+        scored, levels, ["dst"], hot_keys(in_rows, ["dst"], "n", cfg, rows), ["src"], "left"
     ).withColumn("sensitivity_score", level_at(F.col("last_seen")) / F.lit(float(C.CRITICAL)))
 
     if frequency is None:
         scored = salted_join(
             scored, out_rows.select("src", "busiest"), ["src"],
-            hot_keys(out_rows, ["src"], "n", cfg), ["dst"],
+            hot_keys(out_rows, ["src"], "n", cfg, rows), ["dst"],
         ).withColumn("frequency_score", F.col("event_count") / F.col("busiest"))
     else:
         scored = scored.join(frequency, ["src", "dst"])
@@ -181,9 +182,10 @@ def point_in_time_frequency(tel: DataFrame, edges: DataFrame, cfg: Settings = DE
         X.micros("ts").alias("at"),
     )
     order = [F.col("at"), F.col("event_id")]
-    hot_edges = hot_keys(edges, ["src", "dst"], "event_count", cfg)
+    rows = edges.agg(F.sum("event_count")).first()[0]
+    hot_edges = hot_keys(edges, ["src", "dst"], "event_count", cfg, rows)
     per_source = edges.groupBy("src").agg(F.sum("event_count").alias("n"))
-    hot_sources = hot_keys(per_source, ["src"], "n", cfg)
+    hot_sources = hot_keys(per_source, ["src"], "n", cfg, rows)
 
     counted = running(flows, ["src", "dst"], "at", order, {"own": ("sum", F.lit(1))}, hot_edges, cfg)
     peaked = running(counted, ["src"], "at", order, {"peak": ("max", F.col("own"))}, hot_sources, cfg)

@@ -21,7 +21,7 @@ def attack_paths(
     winners are stored. Edges of hot sources are salted by their target.
     """
     degree = edges.groupBy("src").agg(F.count("*").alias("n"))
-    hot = materialize(hot_keys(degree, ["src"], "n", cfg), "hot-src")
+    hot = hot_keys(degree, ["src"], "n", cfg, edges.count())
     links = materialize(
         spread(
             edges.select("src", "dst", F.coalesce(F.col(weight), F.lit(cfg.default_weight)).alias("w")),

@@ -11,23 +11,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.config import DEFAULT, Settings
+from palisade.storage import materialize
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, cfg: Settings = DEFAULT) -> DataFrame:
-    """``counts`` holds one row per key with its row count ``n``; returns key, _parts."""
+def hot_keys(
+    counts: DataFrame, keys: Sequence[str], n: str, cfg: Settings = DEFAULT, rows: int | None = None
+) -> DataFrame | None:
+    """Hot keys with their number of parts (key, _parts), stored; None if there are none.
+
+    ``counts`` holds one row per key with its row count ``n``. ``rows``, where the caller knows the
+    total, answers at once for a table too small to have hot keys.
+    """
+    if rows is not None and rows <= cfg.hot_min_rows:
+        return None
     total = counts.select(n).agg(F.sum(n)).scalar()
     share = F.ceil(F.col(n) * cfg.hot_share / total)
     size = F.ceil(F.col(n) / F.lit(cfg.hot_min_rows))
-    return counts.where((F.col(n) > cfg.hot_min_rows) & (F.col(n) * cfg.hot_share > total)).select(
+    found = counts.where((F.col(n) > cfg.hot_min_rows) & (F.col(n) * cfg.hot_share > total)).select(
         *keys, F.least(share, size).cast("int").alias("_parts")
     )
+    hot = materialize(found, "hot")
+    return None if hot.isEmpty() else hot
 
 
-def spread(df: DataFrame, keys: Sequence[str], hot: DataFrame, by: Sequence[str]) -> DataFrame:
+def spread(df: DataFrame, keys: Sequence[str], hot: DataFrame | None, by: Sequence[str]) -> DataFrame:
     """Add ``_salt``: rows of a hot key are spread over its parts by a hash of ``by``.
 
     The salt depends on row content only, so a re-run task sends each row to the same place.
     """
+    if hot is None:
+        return df.withColumn("_salt", F.lit(0))
     salt = F.pmod(F.xxhash64(*by), F.col("_parts").cast("bigint")).cast("int")
     return (
         df.join(F.broadcast(hot), list(keys), "left")
@@ -36,8 +49,10 @@ def spread(df: DataFrame, keys: Sequence[str], hot: DataFrame, by: Sequence[str]
     )
 
 
-def replicate(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+def replicate(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
     """One copy of each row per part of its key (a single copy for ordinary keys)."""
+    if hot is None:
+        return df.withColumn("_salt", F.lit(0))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     return (
         df.join(F.broadcast(hot), list(keys), "left")
@@ -50,11 +65,13 @@ def salted_join(
     facts: DataFrame,
     side: DataFrame,
     keys: Sequence[str],
-    hot: DataFrame,
+    hot: DataFrame | None,
     by: Sequence[str],
     how: str = "inner",
 ) -> DataFrame:
     """Equi-join of ``facts`` with a table that has few rows per key; hot keys are salted."""
+    if hot is None:
+        return facts.join(side, list(keys), how)
     left = spread(facts, keys, hot, by)
     right = replicate(side, keys, hot)
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
@@ -66,7 +83,7 @@ def running(
     at: str,
     order: Sequence[Column],
     measures: dict[str, tuple[str, Column]],
-    hot: DataFrame,
+    hot: DataFrame | None,
     cfg: Settings = DEFAULT,
 ) -> DataFrame:
     """Running sum or max per key in ``order``, computed slice by slice for hot keys.
@@ -76,6 +93,9 @@ def running(
     map-side. A window partition therefore holds one slice of a hot key, or one ordinary key.
     """
     fold = {"sum": F.sum, "max": F.max}
+    if hot is None:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[fold[kind](col).over(whole).alias(name) for name, (kind, col) in measures.items()])
     sliced = (
         df.join(
             F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), list(keys), "left"

@@ -23,7 +23,7 @@ def trailing_at_last(
     """``rows``: keys, event_id, at (micros), value. Adds count, rate per minute and mean per span."""
     keys = list(keys)
     last = materialize(rows.groupBy(*keys).agg(F.max("at").alias("last_at"), F.count("*").alias("n")), "last")
-    hot = hot_keys(last, keys, "n", cfg)
+    hot = hot_keys(last, keys, "n", cfg, last.agg(F.sum("n")).first()[0] or 0)
     reach = salted_join(rows, last.select(*keys, "last_at"), keys, hot, ["event_id", "at"]).where(
         F.col("at") >= F.col("last_at") - F.lit(max(spans.values()))
     )

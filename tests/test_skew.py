@@ -24,12 +24,21 @@ def rows(df):
 def test_hot_list_is_bounded(spark):
     counts = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") + 1).alias("n"))
     hot = hot_keys(counts, ["k"], "n", Settings(hot_share=20, hot_min_rows=1))
-    assert hot.count() < 20
+    assert hot is None
+    powers = spark.range(40).select(F.col("id").alias("k"), F.pow(F.lit(1.3), "id").cast("bigint").alias("n"))
+    assert 0 < hot_keys(powers, ["k"], "n", Settings(hot_share=20, hot_min_rows=1)).count() < 20
     skewed = spark.createDataFrame([("a", 600), ("b", 2), ("c", 2)], "k string, n bigint")
     (row,) = hot_keys(skewed, ["k"], "n", Settings(hot_share=10, hot_min_rows=100)).collect()
     assert row.k == "a" and row._parts == 6
 
 
+def test_no_hot_keys(spark):
+    counts = spark.createDataFrame([("a", 600)], "k string, n bigint")
+    assert hot_keys(counts, ["k"], "n") is None
+    assert hot_keys(counts, ["k"], "n", Settings(hot_min_rows=100), rows=100) is None
+    assert hot_keys(counts, ["k"], "n", Settings(hot_min_rows=100), rows=600) is not None
+
+
 def test_windows(t):
     assert rows(graph.pair_windows(t.tel, HOT)) == rows(t.windows)
     assert rows(graph.node_windows(t.tel, HOT)) == rows(graph.node_windows(t.tel))
