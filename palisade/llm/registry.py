@@ -1,7 +1,9 @@
 """Queries of this folder and, where SQL can express them, the same in SQL."""
 
 from palisade.llm.bpe import op2_bpe
+from palisade.llm.lm import op10_lm
+from palisade.llm.positional import op5_decontaminate
 from palisade.llm.secrets import op1_secrets
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe}
+QUERIES = {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op5_decontaminate": op5_decontaminate, "op10_lm": op10_lm}
 SQL: dict[str, str] = {}
