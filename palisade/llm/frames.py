@@ -62,6 +62,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+#: Bytes of a batch that goes to or comes from a Python worker, so that long texts bound the rows of a batch.
+BATCH_BYTES = 8 << 20
+
+
 def map_batches(df: DataFrame, run: Callable[[Batches], Batches], schema) -> DataFrame:
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(run, schema)

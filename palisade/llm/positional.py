@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.frames import Batches, documents, fresh, map_batches, row_ids, store, table, text_key
-from palisade.llm.words import slices, words
+from palisade.llm.words import pack, pack_sorted, slices, unpack, unpack_sorted, words
 
 WINDOW = 10
 #: Words of a segment (a longer document is a segment of its own).
-SEGMENT = 200_000
+SEGMENT = 60_000
 #: Windows looked up at once: a block of this size is about 20 MB.
 BLOCK = 200_000
 #: Candidates held at once while a segment is searched.
@@ -57,10 +57,10 @@ def build_index(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
                         pa.array([next(numbers)], pa.int64()),
                         pa.ListArray.from_arrays(pa.array([0, stop - at], pa.int32()), batch.column("doc_id")[rows]),
                         pa.ListArray.from_arrays(pa.array([0, stop - at], pa.int32()), batch.column("text_key")[rows]),
-                        pa.array([lengths.astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([names.tobytes()], pa.binary()),
-                        pa.array([counts.astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([places[order].astype(np.int32).tobytes()], pa.binary()),
+                        pa.array([pack(lengths)], pa.binary()),
+                        pa.array([pack_sorted(names)], pa.binary()),
+                        pa.array([pack(counts)], pa.binary()),
+                        pa.array([pack(places[order])], pa.binary()),
                     ], ["segment", "doc_ids", "keys", "lengths", "terms", "counts", "postings"])
                     at = stop
 
@@ -83,13 +83,13 @@ class Segment(NamedTuple):
 
     @classmethod
     def read(cls, row: dict) -> "Segment":
-        lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-        counts = np.frombuffer(row["counts"], np.int32)
-        postings = np.frombuffer(row["postings"], np.int32).astype(np.int64)
+        lengths = unpack(row["lengths"])
+        counts = unpack(row["counts"])
+        postings = unpack(row["postings"])
         starts = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1] if len(lengths) else np.zeros(0, np.int64)
         pairs = (np.repeat(np.arange(len(counts), dtype=np.int64), counts) << _BITS) | postings
         return cls(
-            starts, lengths, np.frombuffer(row["terms"], np.uint64), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64),
+            starts, lengths, unpack_sorted(row["terms"]), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64),
             postings, pairs,
         )
 
@@ -233,7 +233,8 @@ def hits(index: DataFrame, windows: DataFrame, block: int = BLOCK, slop: int | N
             phrases: Phrases = shared.value
             width = (phrases.terms >= 0).sum(axis=1)
             for batch in batches:
-                for row in batch.to_pylist():
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
                     segment = Segment.read(row)
                     if slop is None:
                         window, start = phrase_matches(segment, phrases)
@@ -304,7 +305,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(n, batch.column("segment")[i].as_py())), pa.array(np.arange(n, dtype=np.int32)), ids, keys,
-                    pa.array(np.frombuffer(batch.column("lengths")[i].as_py(), np.int32).astype(np.int64)),
+                    pa.array(unpack(batch.column("lengths")[i].as_py())),
                 ], ["segment", "number", "doc_id", "text_key", "n_words"])
 
     doc_type = docs.schema["doc_id"].dataType.simpleString()

@@ -44,6 +44,38 @@ def slices(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int, np.
         at = end
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte (all low bytes first) in the narrowest width, compressed."""
+    values = values.astype("<u8")
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return bytes([width]) + len(planes).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
+
+
+def _planes(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(_ZSTD.decompress(data[9:], size, asbytes=True), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return _planes(data).astype(np.int64)
+
+
+def pack_sorted(prints: np.ndarray) -> bytes:
+    """Ascending fingerprints as differences: a few bytes less each."""
+    return pack(np.diff(prints, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_planes(data), dtype=np.uint64)
+
+
 class Words(NamedTuple):
     prints: np.ndarray  # fingerprint of each word
     starts: np.ndarray  # first byte

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.llm import positional
+from palisade.llm.words import pack
 from tests.llm import brute
 from tests.llm.conftest import SF
 
@@ -62,5 +63,6 @@ def test_pipeline_form_drops_only_hit_documents(spark, awkward):
 
 
 def test_segment_without_words():
-    empty = positional.Segment.read({"lengths": np.zeros(2, np.int32).tobytes(), "terms": b"", "counts": b"", "postings": b""})
+    none = pack(np.zeros(0, np.int64))
+    empty = positional.Segment.read({"lengths": pack(np.zeros(2, np.int64)), "terms": none, "counts": none, "postings": none})
     assert empty.find(np.array([5], np.uint64)).tolist() == [-1]
