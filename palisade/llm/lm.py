@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.frames import Batches, documents, held_out, map_batches, row_ids, store, table
-from palisade.llm.words import SOLID, mix, slices, words
+from palisade.llm.words import SOLID, mix, pack, pack_sorted, slices, unpack, unpack_sorted, words
 
 #: Weight of the unigram model in every history, in tokens.
 BACKOFF = 500.0
@@ -38,17 +38,6 @@ LANE = 512
 END = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _small(values: np.ndarray) -> bytes:
-    """Whole numbers in the narrowest width, which the first byte tells."""
-    top = int(values.max()) if len(values) else 0
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
-
-
-def _numbers(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
-
-
 def encode(docs: DataFrame, held: Column) -> DataFrame:
     """The stored corpus as numbers: per segment its doc_ids, held-out flags, lengths, distinct words and tokens."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
@@ -71,8 +60,8 @@ def encode(docs: DataFrame, held: Column) -> DataFrame:
                     pa.array([next(ids)], pa.int64()), pa.array([len(prints)], pa.int64()),
                     pa.array([int(lengths[~flags].sum())], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, end - first], pa.int32()), batch.column("doc_id")[rows]),
-                    pa.array([flags.astype(np.uint8).tobytes()], pa.binary()), pa.array([_small(lengths)], pa.binary()),
-                    pa.array([names.tobytes()], pa.binary()), pa.array([_small(tokens)], pa.binary()),
+                    pa.array([flags.astype(np.uint8).tobytes()], pa.binary()), pa.array([pack(lengths)], pa.binary()),
+                    pa.array([pack_sorted(names)], pa.binary()), pa.array([pack(tokens)], pa.binary()),
                 ], ["segment", "n", "n_train", "doc_ids", "held", "lengths", "words", "tokens"])
 
     schema = (
@@ -93,8 +82,8 @@ class Segment(NamedTuple):
 
     @classmethod
     def read(cls, row: dict) -> "Segment":
-        lengths, tokens = _numbers(row["lengths"]), _numbers(row["tokens"])
-        names = np.frombuffer(row["words"], np.uint64)
+        lengths, tokens = unpack(row["lengths"]), unpack(row["tokens"])
+        names = unpack_sorted(row["words"])
         history = np.empty_like(tokens)
         history[1:] = tokens[:-1]
         history[np.cumsum(lengths) - lengths] = np.searchsorted(names, END)
@@ -130,8 +119,8 @@ def ask(corpus: DataFrame, bits: int) -> DataFrame:
                     at = [slice(c[b], c[b + 1]) for c in cuts]
                     if at[0].start < at[0].stop or at[1].start < at[1].stop:
                         for name, value in zip(out, (
-                            b, row["segment"], own.words[at[0]].tobytes(), _small(counts[0][at[0]]),
-                            own.bigrams[at[1]].tobytes(), _small(counts[1][at[1]]),
+                            b, row["segment"], pack_sorted(own.words[at[0]]), pack(counts[0][at[0]]),
+                            pack_sorted(own.bigrams[at[1]]), pack(counts[1][at[1]]),
                         )):
                             out[name].append(value)
                 yield pa.RecordBatch.from_pydict(out, schema=_ASKED)
@@ -163,14 +152,14 @@ def answer(asked: DataFrame) -> DataFrame:
 
     def run(asked: pa.Table) -> pa.Table:
         rows = asked.to_pylist()
-        prints = [np.frombuffer(r["words"], np.uint64) for r in rows]
-        totals = _totals(prints, [_numbers(r["word_counts"]) for r in rows])
-        own = [_numbers(r["bigram_counts"]) for r in rows]
-        sums = _totals([np.frombuffer(r["bigrams"], np.uint64) for r in rows], own)
+        prints = [unpack_sorted(r["words"]) for r in rows]
+        totals = _totals(prints, [unpack(r["word_counts"]) for r in rows])
+        own = [unpack(r["bigram_counts"]) for r in rows]
+        sums = _totals([unpack_sorted(r["bigrams"]) for r in rows], own)
         changed = [np.flatnonzero(a != b) for a, b in zip(own, sums)]
         return pa.Table.from_pydict({
-            "segment": asked["segment"], "bucket": asked["bucket"], "totals": [_small(t) for t in totals],
-            "changed": [_small(c) for c in changed], "now": [_small(s[c]) for s, c in zip(sums, changed)],
+            "segment": asked["segment"], "bucket": asked["bucket"], "totals": [pack(t) for t in totals],
+            "changed": [pack(c) for c in changed], "now": [pack(s[c]) for s, c in zip(sums, changed)],
         }, schema=_TOLD)
 
     return asked.groupBy("bucket").applyInArrow(run, "segment long, bucket int, totals binary, changed binary, now binary")
@@ -182,17 +171,17 @@ def vocabulary(corpus: DataFrame, bits: int) -> int:
     def lists(batches: Batches) -> Batches:
         for batch in batches:
             for row in batch.to_pylist():
-                names, lengths = np.frombuffer(row["words"], np.uint64), _numbers(row["lengths"])
+                names, lengths = unpack_sorted(row["words"]), unpack(row["lengths"])
                 learn = np.repeat(np.frombuffer(row["held"], np.uint8) == 0, lengths)
-                seen = names[np.bincount(_numbers(row["tokens"])[learn], minlength=len(names)) > 0]
+                seen = names[np.bincount(unpack(row["tokens"])[learn], minlength=len(names)) > 0]
                 cuts = _cuts(seen, bits)
-                own = [(b, seen[cuts[b] : cuts[b + 1]].tobytes()) for b in range(1 << bits) if cuts[b] < cuts[b + 1]]
+                own = [(b, pack_sorted(seen[cuts[b] : cuts[b + 1]])) for b in range(1 << bits) if cuts[b] < cuts[b + 1]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b for b, _ in own], pa.int32()), pa.array([w for _, w in own], pa.binary())], ["bucket", "words"]
                 )
 
     def distinct(sent: pa.Table) -> pa.Table:
-        all_words = np.concatenate([np.frombuffer(w.as_py(), np.uint64) for w in sent["words"]])
+        all_words = np.concatenate([unpack_sorted(w.as_py()) for w in sent["words"]])
         return pa.table({"n": pa.array([len(np.unique(all_words))], pa.int64())})
 
     sent = map_batches(corpus.select("held", "lengths", "words", "tokens"), lists, "bucket int, words binary")
@@ -261,9 +250,9 @@ def score(docs: DataFrame, held: Column, backoff: float = BACKOFF) -> DataFrame:
             word_counts, bigram_counts = own.train_counts()
             cuts = _cuts(own.bigrams, bits)
             replies = sorted(told.to_pylist(), key=lambda r: r["bucket"])
-            word_counts = np.concatenate([_numbers(r["totals"]) for r in replies])
+            word_counts = np.concatenate([unpack(r["totals"]) for r in replies])
             for r in replies:
-                bigram_counts[cuts[r["bucket"]] + _numbers(r["changed"])] = _numbers(r["now"])
+                bigram_counts[cuts[r["bucket"]] + unpack(r["changed"])] = unpack(r["now"])
             automaton = Automaton.build(own, word_counts, bigram_counts, n, v, backoff)
             doc = np.repeat(np.arange(len(own.lengths)), own.lengths)
             out.append(pa.table({
