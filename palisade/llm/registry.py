@@ -5,13 +5,22 @@ from palisade.llm.bpe import op2_bpe
 from palisade.llm.jaccard import op3_jaccard
 from palisade.llm.language import op6_language
 from palisade.llm.lm import op10_lm
+from palisade.llm.passages import op8_passages
 from palisade.llm.positional import op5_decontaminate
 from palisade.llm.quality import op4_quality
 from palisade.llm.secrets import op1_secrets
 from palisade.llm.toxicity import op9_toxicity
 
 QUERIES = {
-    "op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality,
-    "op5_decontaminate": op5_decontaminate, "op6_language": op6_language, "op7_neighbours": op7_neighbours, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm,
+    "op1_secrets": op1_secrets,
+    "op2_bpe": op2_bpe,
+    "op3_jaccard": op3_jaccard,
+    "op4_quality": op4_quality,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_language": op6_language,
+    "op7_neighbours": op7_neighbours,
+    "op8_passages": op8_passages,
+    "op9_toxicity": op9_toxicity,
+    "op10_lm": op10_lm,
 }
 SQL: dict[str, str] = {}
