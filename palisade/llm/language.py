@@ -10,6 +10,7 @@ from; without any label everything is ``und``; ties go to the language that come
 whole, whatever their length.
 """
 
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -74,8 +75,8 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def sample_bags(docs: DataFrame, label: str, shares: dict, run_bags) -> list[dict]:
-    """Bags of a sample: each row is taken if the hash of its id falls into the share of its label."""
+def sample_bags(docs: DataFrame, label: str, shares: dict, run_bags) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(label, columns, counts) of a sample: a row is taken if the hash of its id falls into the share of its label."""
     share = F.lit(0.0)
     for value, part in shares.items():
         share = F.when(F.col(label) == value, part).otherwise(share)
@@ -89,17 +90,16 @@ def sample_bags(docs: DataFrame, label: str, shares: dict, run_bags) -> list[dic
             ]
             yield from pa.Table.from_pylist(rows, schema=_BAG).combine_chunks().to_batches()
 
-    found = map_batches(chosen.select("text", F.col(label).cast("string").alias(label)), run, "label string, columns binary, counts binary")
-    return sorted(found.toArrow().to_pylist(), key=lambda r: (r["columns"], r["counts"], r["label"]))
+    found = map_batches(chosen.select("text", F.col(label).cast("string").alias(label)), run, "label string, columns binary, counts binary").toArrow()
+    numbers = lambda x: np.frombuffer(x.as_buffer(), np.int32)  # noqa: E731  a view of the table's memory
+    rows = [(y.as_py(), numbers(c), numbers(n)) for y, c, n in zip(found["label"], found["columns"], found["counts"])]
+    # The order in which rows arrive must not matter.
+    return sorted(rows, key=lambda r: (zlib.crc32(r[1]), zlib.crc32(r[2]), r[0]))
 
 
 _BAG = pa.schema([("label", pa.string()), ("columns", pa.binary()), ("counts", pa.binary())])
 
 
-def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row["columns"], np.int32), np.frombuffer(row["counts"], np.int32)
-
-
 class Ftrl:
     """Per-coordinate follow-the-regularised-leader for a softmax; a weight is zero while |z| is at most L1."""
 
@@ -156,9 +156,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     number = {k: i for i, k in enumerate(languages)}
 
     def example(i: int) -> tuple[np.ndarray, np.ndarray, int]:
-        columns, n = unpack(rows[i])
+        label, columns, n = rows[i]
         x = tf_idf(idf, columns, n)
-        return np.append(columns, 1 << BITS), np.append(x, 1.0), number[rows[i]["label"]]  # the last column is the bias
+        return np.append(columns, 1 << BITS), np.append(x, 1.0), number[label]  # the last column is the bias
 
     random = np.random.default_rng(2)
     for _ in range(EPOCHS):

@@ -5,7 +5,7 @@ classes. As vectors belong to n-grams and not to words, a misspelling that was n
 with the word it comes from. N-grams weigh by the root of their count, so that a word repeated a thousand times does
 not outweigh the rest of its text.
 
-Vectors are learned on a bounded sample of the labelled rows (``PER_CLASS`` and ``CLEAN`` rows, chosen by a hash of the
+Vectors are learned on a bounded sample of the labelled rows (``TOXIC`` and ``CLEAN`` rows, chosen by a hash of the
 id); n-grams that fewer than ``LEAST`` of its texts have are left out. As the mean and the layer above are linear, a text is scored
 with one number per n-gram.
 
@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from palisade.llm.chargrams import grams
 from palisade.llm.frames import Batches, documents, held_out, map_batches, table
-from palisade.llm.language import sample_bags, unpack
+from palisade.llm.language import sample_bags
 
 SIZES = (3, 4, 5)
 BITS = 18
 DIMENSIONS = 8
 #: Bounds of the sample.
-PER_CLASS, CLEAN = 3000, 9000
+TOXIC, CLEAN = 2000, 4000
 LEAST = 5
 EPOCHS, RATE = 4, 0.25
 
@@ -39,11 +39,12 @@ def bags(texts: list[str]):
 
 def weights_of(counts: np.ndarray) -> np.ndarray:
     root = np.sqrt(counts)
-    return root / root.sum() if len(root) else root
+    return (root / root.sum() if len(root) else root).astype(np.float32)
 
 
 class Model:
-    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7):
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, odds: float | None = None, seed: int = 7):
+        """``odds``: of label 1 among all labelled rows, where the sample is not drawn evenly."""
         random = np.random.default_rng(seed)
         seen = np.zeros(1 << BITS, np.int64)
         for columns, _ in bags:
@@ -61,6 +62,9 @@ class Model:
             for i in random.permutation(len(examples)):
                 self._learn(*examples[i], labels[i], RATE * (1 - done / total))
                 done += 1
+        ones = int(labels.sum())
+        if odds and 0 < ones < len(labels):
+            self.bias[1] += np.log(odds / (ones / (len(labels) - ones)))
 
     def _learn(self, columns: np.ndarray, weights: np.ndarray, label: int, rate: float) -> None:
         mean = weights @ self.vectors[columns]
@@ -80,10 +84,10 @@ class Model:
         return np.where(self.kept, each, 0.0), float(self.bias[1] - self.bias[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, clean: int = CLEAN) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Model | None:
     """A model from the labelled rows of ``docs``; None without labels.
 
-    The ids of the sample are chosen before texts are touched: at most ``per_class + clean`` ids (and the few that
+    The ids of the sample are chosen before texts are touched: at most ``toxic + clean`` ids (and the few that
     share a hash bucket) meet the documents in a broadcast join, so no text is shuffled.
     """
     known = (
@@ -93,14 +97,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, clean:
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    shares = {str(k): (per_class if k else clean) / n for k, n in counts.items()}
+    shares = {str(k): (toxic if k else clean) / n for k, n in counts.items()}
     share = F.when(F.col("toxic") == 1, shares.get("1", 0.0)).otherwise(shares.get("0", 0.0))
     chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     joined = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = sample_bags(joined.withColumn("toxic", F.col("toxic").cast("string")), "toxic", {"0": 1.0, "1": 1.0}, bags)
     if not rows:
         return None
-    return Model([unpack(r) for r in rows], np.array([int(r["label"]) for r in rows]))
+    odds = counts.get(1, 0) / counts[0] if counts.get(0) else None
+    return Model([r[1:] for r in rows], np.array([int(r[0]) for r in rows]), odds)
 
 
 def predict(docs: DataFrame, model: Model | None, held: Column) -> DataFrame:
