@@ -24,10 +24,10 @@ def whole_number(text: Column, kind: str) -> Column:
 
 
 def parse_timestamp(text: Column, as_of: Column) -> Column:
-    """ISO with Z (fraction optional), ``date time``, or epoch seconds; ``as_of`` for the rest."""
+    """ISO with Z (fraction optional), ``date time``, or epoch seconds (also 1.7e9); ``as_of`` for the rest."""
     iso = r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?Z$"
     plain = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
-    epoch = r"^-?\d+(\.\d+)?$"
+    epoch = r"^-?\d+(\.\d+)?([eE][+-]?\d{1,2})?$"
     parsed = (
         F.when(text.rlike(iso), text.try_cast("timestamp"))
         .when(text.rlike(plain), F.concat(text, F.lit("Z")).try_cast("timestamp"))

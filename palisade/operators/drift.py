@@ -122,8 +122,8 @@ def _long_form(history: DataFrame) -> DataFrame:
 
 def retained(history: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Rows within the rolling window that ends at the newest row."""
-    newest = history.agg(F.max(X.micros("ts"))).scalar()
-    return history.where(X.micros("ts") >= newest - F.lit(cfg.drift_window_days * C.DAY_US))
+    newest = history.agg(F.max("ts")).scalar()
+    return history.where(F.col("ts") >= newest - F.make_dt_interval(days=F.lit(cfg.drift_window_days)))
 
 
 def drift_check(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from palisade.config import DEFAULT, Settings
 from palisade.functions import vectors as V
 from palisade.operators.skew import hot_keys, running, salted_join
+from palisade.shipping import ship
 from palisade.storage import materialize
 
 
@@ -100,6 +101,7 @@ def _dense(df: DataFrame, columns: list[str], fn: Callable, names: list[str], dt
             yield pa.RecordBatch.from_arrays(arrays, names=["node_id", *names])
 
     schema = "node_id string, " + ", ".join(f"{n} array<{kind}>" for n in names)
+    ship(df.sparkSession)
     return df.select("node_id", *columns).mapInArrow(run, schema)
 
 
@@ -223,10 +225,11 @@ def replay_baseline(history: DataFrame, cfg: Settings = DEFAULT, reset_at: Colum
     def drift(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rank")
         vectors = np.vstack(frame.embedding.to_numpy()).astype(np.float64)
-        moved = np.empty_like(vectors)
-        moved[0] = vectors[0]
-        for t in range(1, len(vectors)):
-            moved[t] = (1 - alpha) * moved[t - 1] + alpha * vectors[t]
+        # moved[t] = sum over s <= t of alpha (1 - alpha)^(t - s) vectors[s], with the whole start at s = 0.
+        age = np.arange(len(vectors))[:, None] - np.arange(len(vectors))[None, :]
+        share = np.where(age >= 0, (1 - alpha) ** np.maximum(age, 0), 0.0)
+        share[:, 1:] *= alpha
+        moved = share @ vectors
         lengths = np.linalg.norm(vectors, axis=1) * np.linalg.norm(moved, axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             far = np.where(lengths == 0, 0.0, (1 - (vectors * moved).sum(axis=1) / lengths) / 2)
@@ -237,6 +240,7 @@ def replay_baseline(history: DataFrame, cfg: Settings = DEFAULT, reset_at: Colum
         })
         return out[~frame.run_up.to_numpy()]
 
+    ship(placed.sparkSession)
     return placed.groupBy("node_id", "block").applyInPandas(
         drift, "node_id string, pass bigint, first_pass boolean, drift double"
     )

@@ -44,6 +44,8 @@ def merge_nodes(tel: DataFrame, use_ports: bool = True) -> DataFrame:
         F.col("f.ip_address").alias("ip_address"),
         "event_count",
         "since_2", "since_3", "since_4",
+        F.col("f.first_ts").alias("first_ts"),
+        F.col("f.role").alias("first_role"),
     )
 
 
@@ -199,7 +201,8 @@ def decay_edges(edges: DataFrame, as_of: Column, cfg: Settings = DEFAULT) -> Dat
 
 
 def _stale(as_of: Column, cfg: Settings) -> Column:
-    return X.micros("last_seen") < X.micros(as_of) - F.lit(cfg.prune_days * C.DAY_US)
+    # The bare column, so that the filter reaches the scan.
+    return F.col("last_seen") < as_of - F.make_dt_interval(days=F.lit(cfg.prune_days))
 
 
 def prune_edges(edges: DataFrame, as_of: Column, cfg: Settings = DEFAULT) -> DataFrame:

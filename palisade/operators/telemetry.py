@@ -12,8 +12,38 @@ from palisade.functions import scalar as X
 
 def union_sources(*sources: DataFrame) -> DataFrame:
     """One frame over all sources; keys that a source lacks are null. Every key becomes text."""
-    as_text = [df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]) for df in sources]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), as_text)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(as_text, sources))
+
+
+#: Keys whose values must be whole numbers.
+WHOLE_KEYS = (*C.FIELD_KEYS["port"], *C.FIELD_KEYS["bytes_transferred"])
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def as_text(df: DataFrame) -> DataFrame:
+    """Every column as text that loses nothing of its type, whatever the session's time zone.
+
+    Points in time become epoch seconds with six decimals (times without a zone count as UTC), and
+    numbers in a key of whole numbers are cut to whole ones; text stays as it is.
+    """
+    seconds = lambda micros: (micros.cast("decimal(24,0)") / F.lit(C.MICROS)).cast("decimal(24,6)").cast("string")
+
+    def column(name: str, kind: str) -> Column:
+        value = F.col(f"`{name}`")
+        if kind == "timestamp":
+            value = seconds(F.unix_micros(value))
+        elif kind == "timestamp_ntz":
+            value = seconds(F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, `{name}`)"))
+        elif kind == "date":
+            value = seconds(F.unix_date(value).cast("bigint") * C.DAY_US)
+        elif kind in ("float", "double") or kind.startswith("decimal"):
+            if name in WHOLE_KEYS:
+                value = F.coalesce(value.try_cast("decimal(38,6)").try_cast("bigint").cast("string"), value.cast("string"))
+            elif name == "timestamp":
+                value = F.coalesce(value.try_cast("decimal(24,6)").cast("string"), value.cast("string"))
+        return value.cast("string").alias(name)
+
+    return df.select(*[column(name, kind) for name, kind in df.dtypes])
 
 
 def _first(raw: DataFrame, keys) -> Column:
@@ -33,6 +63,7 @@ def resolve_node(raw: DataFrame, direction: str) -> Column:
 
 def _typed(raw: DataFrame, as_of: Column) -> DataFrame:
     """Canonical columns plus ``reject_reason`` (null for a good row)."""
+    raw = as_text(raw)
     pick = {name: _first(raw, keys) for name, keys in C.FIELD_KEYS.items()}
     plain = {k: _first(raw, (k,)) for k in ("event_id", "timestamp", "event_type", "protocol")}
     port = X.whole_number(pick["port"], "int")
@@ -74,13 +105,23 @@ def rejects(raw: DataFrame, as_of: Column) -> DataFrame:
 
 
 def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
-    """JSON text -> raw keys; ``_bad`` keeps the text of a message that is not valid JSON."""
+    """JSON text -> raw keys. ``_bad`` keeps the text of a message that is no JSON object with a known key.
+
+    JSON numbers such as 443.0 in a key of whole numbers are cut as `as_text` does; JSON text is not.
+    """
+    text = F.col(value).cast("string")
     parsed = F.from_json(
-        F.col(value).cast("string"),
-        schemas.RAW + ", `_bad` string",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"},
+        text, schemas.RAW + ", `_bad` string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     )
-    return messages.select(parsed.alias("m")).select("m.*")
+    numbers = F.from_json(text, ", ".join(f"`{k}` double" for k in WHOLE_KEYS))
+    rows = messages.select(text.alias("_text"), parsed.alias("m"), numbers.alias("x")).select("_text", "x", "m.*")
+    whole = {
+        k: F.when(F.col(k).rlike("[.eE]"), F.coalesce(F.col(f"x.{k}").try_cast("bigint").cast("string"), F.col(k))).otherwise(F.col(k))
+        for k in WHOLE_KEYS
+    }
+    known = F.coalesce(*[F.col(k) for k in schemas.RAW_KEYS]).isNotNull()
+    bad = F.when(F.col("_bad").isNotNull() | ~known, F.coalesce("_bad", "_text", F.lit("")))
+    return rows.withColumns({**whole, "_bad": bad}).drop("_text", "x")
 
 
 def endpoints(tel: DataFrame) -> DataFrame:

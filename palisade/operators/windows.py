@@ -53,11 +53,14 @@ def trailing_series(
     """Per event: count, mean, sample deviation and rate over each span ending at that event.
 
     An event counts towards windows that end up to ``span`` later, both ends included; events with
-    equal times see each other. Each event asks for the running total at its own time and just
+    equal times see each other. Rows are told apart by their content, not by their id: equal rows are
+    one row with a number until the end, so ids may repeat or be empty. Each event asks for the running total at its own time and just
     before the start of each window; the answers are subtracted. Sums are exact integers.
     """
     keys = list(keys)
-    value = F.col("value").cast("decimal(19,0)")
+    row = [*keys, "event_id", "event_at", "value"]
+    rows = rows.groupBy(*keys, "event_id", F.col("at").alias("event_at"), "value").agg(F.count("*").alias("times"))
+    value, times = F.col("value").cast("decimal(19,0)"), F.col("times").cast("decimal(19,0)")
     nothing = F.lit(0).cast("decimal(38,0)")
 
     def mark(kind: int, at: Column, span: str | None, counted: bool) -> Column:
@@ -65,17 +68,16 @@ def trailing_series(
             F.lit(kind).alias("kind"),
             at.alias("at"),
             F.lit(span).cast("string").alias("span"),
-            F.lit(1 if counted else 0).alias("one"),
-            (value.cast("decimal(38,0)") if counted else nothing).alias("v"),
-            ((value * value).cast("decimal(38,0)") if counted else nothing).alias("vv"),
+            (F.col("times") if counted else F.lit(0).cast("bigint")).alias("one"),
+            ((times * value).cast("decimal(38,0)") if counted else nothing).alias("v"),
+            ((value * value).cast("decimal(38,0)") * F.col("times") if counted else nothing).cast("decimal(38,0)").alias("vv"),
         )
 
     # kind orders marks of equal time: window starts, then events, then window ends.
-    marks = [mark(1, F.col("at"), None, True), mark(2, F.col("at"), None, False)]
-    marks += [mark(0, F.col("at") - F.lit(span), name, False) for name, span in spans.items()]
-    timeline = rows.select(*keys, "event_id", F.explode(F.array(*marks)).alias("m")).select(
-        *keys, "event_id", "m.*"
-    )
+    at = F.col("event_at")
+    marks = [mark(1, at, None, True), mark(2, at, None, False)]
+    marks += [mark(0, at - F.lit(span), name, False) for name, span in spans.items()]
+    timeline = rows.select(*row, "times", F.explode(F.array(*marks)).alias("m")).select(*row, "times", "m.*")
     hot = hot_keys(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys, "n", cfg)
     measures = {
         "cum_n": ("sum", F.col("one")), "cum_v": ("sum", F.col("v")), "cum_vv": ("sum", F.col("vv")),
@@ -101,4 +103,6 @@ def trailing_series(
             F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), spread))).otherwise(0.0).alias(f"{name}_std"),
             rate(n, span).alias(f"{name}_rate"),
         ]
-    return totals.groupBy(*keys, "event_id").agg(*aggs).select(*keys, "event_id", *out)
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))
+    found = totals.groupBy(*row, "times").agg(*aggs).select(*row, "times", *out).withColumn("_copy", each)
+    return found.drop("times", "_copy").withColumnsRenamed({"event_at": "at"})

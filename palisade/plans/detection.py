@@ -4,13 +4,12 @@ Every result is a stored table under ``state``, one part per pass, so passes can
 by dashboards, and resumed after a failure. A pass reads the baselines of the pass before it.
 """
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.config import DEFAULT, Settings
 from palisade.operators import contain, detect, drift, embed, features, graph, paths, soc
-from palisade.storage import materialize
+from palisade.storage import exists, materialize
 
 
 def _save(df: DataFrame, state: str, table: str, pass_no: int) -> DataFrame:
@@ -21,10 +20,7 @@ def _save(df: DataFrame, state: str, table: str, pass_no: int) -> DataFrame:
 
 def read_passes(spark: SparkSession, state: str, table: str) -> DataFrame | None:
     """All parts of a table with their ``pass_no``; null if no pass has written it."""
-    try:
-        return spark.read.parquet(f"{state}/{table}")
-    except AnalysisException:
-        return None
+    return spark.read.parquet(f"{state}/{table}") if exists(spark, f"{state}/{table}") else None
 
 
 def _before(spark: SparkSession, state: str, table: str, pass_no: int) -> DataFrame | None:
@@ -43,8 +39,9 @@ def run_pass(
 ) -> None:
     """Detection over all telemetry up to ``as_of``. ``layers``: model weights, seeded if absent.
 
-    Writes edges, nodes, rules, degree_baseline, embedding_baseline, scores, score_history and, if
-    something was flagged, compromised, paths, actions, firewall_rules, alerts and alert_nodes.
+    Writes edges, nodes, rules, degree_baseline, embedding_baseline, scores, score_history,
+    compromised, paths, actions, firewall_rules, alerts and alert_nodes; the last six are empty if
+    nothing was flagged, so that a pass that is run again leaves nothing of its earlier run.
     """
     spark = tel.sparkSession
     seen = tel.where(F.col("ts") <= as_of)
@@ -72,15 +69,13 @@ def run_pass(
         F.array("d_g").alias("structural"),
     )
     _save(history, state, "score_history", pass_no)
-    if detect.flagged_edges(scores).isEmpty():
-        return
-
     live = materialize(graph.prune_edges(edges, as_of, cfg), "live")
     compromised = _save(detect.compromised_nodes(scores, cfg), state, "compromised", pass_no)
     found = _save(paths.attack_paths(live, compromised, nodes, cfg), state, "paths", pass_no)
     actions = _save(contain.containment_actions(found, live, as_of, cfg), state, "actions", pass_no)
     blocks = _save(contain.firewall_rules(found, compromised, actions, cfg), state, "firewall_rules", pass_no)
-    alert = _save(soc.build_alert(scores, found, actions, blocks, seen, as_of), state, "alerts", pass_no)
+    alert = soc.build_alert(scores, found, actions, blocks, seen, as_of).where(F.lit(not detect.flagged_edges(scores).isEmpty()))
+    alert = _save(alert, state, "alerts", pass_no)
     _save(
         soc.alert_nodes(scores).withColumn("alert_id", alert.select("alert_id").scalar()),
         state, "alert_nodes", pass_no,

@@ -3,8 +3,23 @@ a query mentions, directly or through others, in front of it."""
 
 import re
 
-from palisade.config import ADMIN_PORTS, DB_PORTS, DEFAULT_TACTICS, LATERAL_TOOLS, SENSITIVE_PORTS, TACTICS
-from palisade.plans.tables import PASSES
+# Fixed values, stated apart from the code under test.
+DB_PORTS = (3306, 5432, 1433, 1521, 27017, 6379)
+SENSITIVE_PORTS = (22, 3389, 445)
+ADMIN_PORTS = (22, 3389, 445, 135, 5985, 5986)
+LATERAL_TOOLS = ("psexec", "wmic", "winrm", "dcom", "mimikatz", "cobalt")
+TACTICS = (
+    ("psexec", ("TA0008 Lateral Movement", "T1021.002 SMB/Windows Admin Shares")),
+    ("ssh", ("TA0008 Lateral Movement", "T1021.004 SSH")),
+    ("rdp", ("TA0008 Lateral Movement", "T1021.001 Remote Desktop Protocol")),
+    ("wmic", ("TA0008 Lateral Movement", "T1047 Windows Management Instrumentation")),
+    ("powershell", ("TA0002 Execution", "T1059.001 PowerShell")),
+    ("authentication", ("TA0006 Credential Access", "T1078 Valid Accounts")),
+    ("file_access", ("TA0009 Collection", "T1005 Data from Local System")),
+    ("dns", ("TA0011 Command and Control", "T1071.004 DNS")),
+)
+DEFAULT_TACTICS = ("TA0008 Lateral Movement", "T1021 Remote Services")
+PASSES = 4
 
 _ADMIN = ", ".join(map(str, ADMIN_PORTS))
 _DB = ", ".join(map(str, DB_PORTS))
@@ -44,7 +59,7 @@ SELECT event_id, 'process_exec' AS event_type, strftime(ts, '%Y-%m-%dT%H:%M:%SZ'
        'wl-' || u AS src_host, 'wl-' || k AS dst_host, 'PsExec' AS process_name, 'usr-' || u AS username
 FROM ev WHERE k % 9 = 1
 UNION ALL BY NAME
-SELECT event_id, 'cloud_audit' AS event_type, CAST(epoch_us(ts) // 1000000 AS VARCHAR) AS timestamp,
+SELECT event_id, 'cloud_audit' AS event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp,
        'usr-' || u AS source_id, 'db-' || (k % 10) AS dest_id, 'usr-' || u AS "user",
        CASE WHEN et = 'error' THEN 'False' ELSE 'ok' END AS result
 FROM ev WHERE k % 9 = 2
@@ -346,7 +361,7 @@ SELECT coalesce(string_agg(tactic, '|' ORDER BY o), '{"|".join(DEFAULT_TACTICS)}
 
 # -- paths and containment
 CTES["starts"] = """
-SELECT src AS node_id FROM live WHERE src LIKE 'wl-%' GROUP BY src ORDER BY count(*) DESC, src LIMIT 3"""
+SELECT DISTINCT src AS node_id FROM top5 WHERE total_score > 0.85 OR (rn = 1 AND (SELECT max(total_score) FROM top5) <= 0.85)"""
 
 
 def _paths(prefix: str, edges: str) -> None:
@@ -530,6 +545,7 @@ BODIES: dict[str, str] = {
     "edge_lookup": f"SELECT {_EDGE} FROM edges WHERE src = 'wl-4' AND dst = 'db-0'",
     "neighbors": "SELECT src AS node_id, 'out' AS direction, dst AS neighbor FROM edges UNION ALL SELECT dst, 'in', src FROM edges",
     "window_stats": f"SELECT src, event_id, {', '.join(_series)} FROM flows",
+    "window_stats_without_ids": f"SELECT src, ts, bytes_transferred, {', '.join(_series)} FROM flows",
     "edge_temporal_features": f"SELECT src, dst, {_r(*_six)} FROM pw",
     "node_temporal_features": "SELECT node_id, short_count AS activity_count, round(short_rate, 6) AS activity_rate, round(short_mean, 6) AS activity_mean, round(short_std, 6) AS activity_std FROM nw",
     "temporal_deviation": f"SELECT src, dst, {_r('deviation')} FROM gap",
@@ -589,10 +605,11 @@ BODIES: dict[str, str] = {
 }
 
 BODIES |= {
-    "stream_source_parse": """SELECT 'good' AS status, event_type AS what, count(*) AS n, CAST(sum(bytes_transferred) AS BIGINT) AS bytes
-      FROM good WHERE CAST(event_id AS BIGINT) % 50 <> 7 GROUP BY event_type
-      UNION ALL SELECT 'bad', CASE WHEN CAST(event_id AS BIGINT) % 50 = 7 THEN 'json' ELSE reject_reason END, count(*), NULL
-      FROM typed WHERE CAST(event_id AS BIGINT) % 50 = 7 OR reject_reason IS NOT NULL GROUP BY 2""",
+    "stream_source_parse": """SELECT 'good' AS status, event_type AS what, count(*) AS n, CAST(sum(bytes_transferred) AS BIGINT) AS bytes,
+        CAST(sum(epoch_us(ts)) AS DECIMAL(38, 0)) AS times
+      FROM good WHERE CAST(event_id AS BIGINT) % 50 NOT IN (7, 9, 11) GROUP BY event_type
+      UNION ALL SELECT 'bad', CASE WHEN CAST(event_id AS BIGINT) % 50 IN (7, 9, 11) THEN 'json' ELSE reject_reason END, count(*), NULL, NULL
+      FROM typed WHERE CAST(event_id AS BIGINT) % 50 IN (7, 9, 11) OR reject_reason IS NOT NULL GROUP BY 2""",
     "stream_edge_state": BODIES["edge_fold"],
     "stream_edge_compaction": f"SELECT {_EDGE} FROM edges WHERE last_seen >= {_NOW} - INTERVAL 7 DAYS",
     "stream_window_stats": BODIES["edge_temporal_features"],

@@ -89,11 +89,8 @@ class Tables:
 
     @cached_property
     def starts(self) -> DataFrame:
-        """Three workloads with the most live targets: the usual foothold of the path queries."""
-        busy = self.live.where(F.col("src").startswith("wl-")).groupBy("src").agg(F.count("*").alias("n"))
-        return materialize(
-            busy.orderBy(F.desc("n"), "src").limit(3).select(F.col("src").alias("node_id")), "starts"
-        )
+        """The nodes that the scores show to be compromised: where the path search begins."""
+        return materialize(detect.compromised_nodes(self.scores, self.cfg), "starts")
 
     @cached_property
     def paths(self) -> DataFrame:

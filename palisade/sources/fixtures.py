@@ -60,7 +60,7 @@ def raw_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     iso_short = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     plain = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    epoch = F.unix_seconds("ts").cast("string")
+    epoch = F.unix_micros("ts") / F.lit(1e6)
     size = (F.col("value") * 1000).cast("bigint").cast("string")
     wl_u, wl_k, usr = F.concat(F.lit("wl-"), u), F.concat(F.lit("wl-"), k.cast("string")), F.concat(F.lit("usr-"), u)
     port = F.when(k % 18 == 9, "n/a").when(k % 18 == 0, " 5432 ").otherwise((k + 20).cast("string"))
@@ -70,7 +70,7 @@ def raw_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
         return base.where(F.col("tag") == tag).select(*[v.alias(n) for n, v in {**fixed, **columns}.items()])
 
     return [
-        source(0, timestamp=iso, src_ip=F.concat(F.lit("10.0.0."), u), dst_ip=F.concat(F.lit("10.1.0."), k.cast("string")),
+        source(0, timestamp=F.col("ts"), src_ip=F.concat(F.lit("10.0.0."), u), dst_ip=F.concat(F.lit("10.1.0."), k.cast("string")),
                dst_port=port, bytes=size, protocol=F.lit("tcp")),
         source(1, timestamp=iso_short, src_host=wl_u, dst_host=wl_k, process_name=F.lit("PsExec"), username=usr),
         source(2, timestamp=epoch, source_id=usr, dest_id=F.concat(F.lit("db-"), (k % 10).cast("string")),
@@ -82,5 +82,5 @@ def raw_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
                bytes=F.when(k % 4 == 0, "12.5").otherwise(size)),
         source(7, source_ip=F.lit("172.16.0.1"), src_ip=F.lit("172.16.0.2"), destination_ip=F.lit("10.2.0.1"),
                user=usr, timestamp=iso_short, success=F.lit("")),
-        source(8, timestamp=iso, src_node=wl_u, source_id=usr, dst_node=F.lit("db-files"), process_name=F.lit("CMD"), port=F.lit("445")),
+        source(8, timestamp=iso, src_node=wl_u, source_id=usr, dst_node=F.lit("db-files"), process_name=F.lit("CMD"), port=F.lit(445.0)),
     ]

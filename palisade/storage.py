@@ -5,6 +5,8 @@ Iterative jobs and tables with several readers are written once to the shared fo
 gives the optimizer real sizes to decide joins on.
 """
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,7 +25,8 @@ def shared_root(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _local_roots:
-        _local_roots[sc.applicationId] = tempfile.mkdtemp(prefix="palisade-")
+        root = _local_roots[sc.applicationId] = tempfile.mkdtemp(prefix="palisade-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)  # a local session's tables end with it
     return _local_roots[sc.applicationId]
 
 
@@ -43,6 +46,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return store(df, name)[0]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a stored table that nothing reads any more. Only folders below the shared root."""
     if not path.startswith(shared_root(spark) + "/"):
