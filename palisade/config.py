@@ -143,3 +143,6 @@ class Settings:
 
 
 DEFAULT = Settings()
+
+# The plan meant for large tables, at any size: keys of a few rows count as hot and timelines are cut every hour.
+SPLIT = Settings(hot_min_rows=20, slice_us=3_600_000_000)

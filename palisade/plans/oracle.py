@@ -465,6 +465,35 @@ SELECT *, CASE WHEN psi_score > 0.25 THEN 'drift' WHEN psi_score > 0.1 THEN 'mod
 FROM (SELECT split_part(feature, ':', 1) AS feature_group, avg(psi) AS psi_score, count(*) AS features FROM drift_psi GROUP BY 1)"""
 
 
+CTES["shifted_values"] = " UNION ALL ".join(
+    f"SELECT '{g}:{i}' AS feature, ts < {_NOW} - INTERVAL 7 DAYS AS expected, ({x})::DOUBLE AS v FROM tel WHERE ts >= {_NOW} - INTERVAL 30 DAYS"
+    for g, cells in (
+        ("behavioral", (f"bytes_transferred * CASE WHEN ts >= {_NOW} - INTERVAL 7 DAYS THEN 4 ELSE 1 END", "port")),
+        ("temporal", ("hour(ts)", "isodow(ts) - 1")),
+        ("structural", tuple(
+            f"length({end}) + CASE WHEN ts >= {_NOW} - INTERVAL 7 DAYS AND hour(ts) < 6 THEN 2 ELSE 0 END"
+            for end in ("source_node", "destination_node")
+        )),
+    ) for i, x in enumerate(cells)
+)
+CTES["shifted_psi"] = _psi("shifted_values")
+CTES["shifted_checks"] = CTES["checks"].replace("drift_psi", "shifted_psi")
+CTES["shadow_begin"] = "SELECT max(detected_at) AS t FROM shifted_checks WHERE triggered_retrain"
+
+# -- bulk graph
+CTES["bulk_lines"] = """
+SELECT 'c-' || o.o_custkey AS c, 's-' || l.l_suppkey AS s, 'p-' || l.l_partkey AS p
+FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey"""
+CTES["bulk_edges"] = """
+SELECT c AS src, s AS dst FROM bulk_lines UNION SELECT s, p FROM bulk_lines UNION SELECT c, p FROM bulk_lines"""
+CTES["bulk_nodes"] = "SELECT src AS node_id FROM bulk_edges UNION SELECT dst FROM bulk_edges"
+_graph = ["und", "deg", "tri", "clust", "outdeg", "pr_n", *[f"pr_{i}" for i in range(51)], "pr_all", "pr_stop", "pr"]
+for _name in _graph:
+    CTES[f"bulk_{_name}"] = re.sub(
+        r"\b(" + "|".join(["edges", "nodes", *_graph]) + r")\b", r"bulk_\1", CTES[_name]
+    )
+
+
 def _drift_replay(source: str) -> str:
     return f"""
 WITH RECURSIVE seq AS (
@@ -601,6 +630,11 @@ BODIES: dict[str, str] = {
     "psi_feature": "SELECT feature, round(psi, 6) AS psi FROM psi_value",
     "drift_check": "SELECT feature_group, round(psi_score, 6) AS psi_score, features, status, triggered_retrain, detected_at FROM checks",
     "drift_status": "SELECT feature_group, round(psi_score, 6) AS psi, CASE WHEN triggered_retrain THEN sha256(feature_group || '|' || epoch_us(detected_at)) END AS drift_id FROM checks",
+    "drift_check_shifted": "SELECT feature_group, round(psi_score, 6) AS psi_score, features, status, triggered_retrain, detected_at FROM shifted_checks",
+    "drift_events_shifted": "SELECT sha256(feature_group || '|' || epoch_us(detected_at)) AS drift_id, feature_group, detected_at, round(psi_score, 6) AS psi_score FROM shifted_checks WHERE triggered_retrain",
+    "drift_gate": "SELECT 8 AS days, feature_group, status, round(psi_score, 6) AS psi_score FROM shifted_checks",
+    "shadow_states": """SELECT state, on_now AS in_shadow_mode, CASE WHEN on_now THEN t END AS shadow_start, on_now AND state = 'old' AS can_promote FROM (
+      SELECT state, t, t IS NOT NULL AND state <> 'promoted' AS on_now FROM shadow_begin, (SELECT unnest(['young', 'old', 'promoted']) AS state))""",
     "shadow_status": "SELECT count(*) > 0 AS in_shadow_mode, max(detected_at) AS shadow_start, count(*) > 0 AS can_promote FROM checks WHERE triggered_retrain",
 }
 
@@ -627,5 +661,12 @@ BODIES |= {
 }
 
 
+for _name in ("edge_weights", "rule_scores", "pagerank", "attack_paths", "window_stats"):
+    BODIES[f"{_name}_split"] = BODIES[_name]
+BODIES["clustering_split"] = BODIES["clustering_coefficient"]
+BODIES["pagerank_bulk"] = "SELECT node_id, round(pagerank, 8) AS pagerank, converged FROM bulk_pr"
+BODIES["clustering_bulk"] = "SELECT node_id, triangles, round(clustering, 6) AS clustering FROM bulk_clust"
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: sql(body.replace("round(", "round(1e-12 + ")) for name, body in BODIES.items()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.config import DEFAULT
+from palisade.config import DEFAULT, SPLIT
 from palisade.functions import scalar as X
 from palisade.functions import vectors as V
 from palisade.operators import (
@@ -617,6 +617,104 @@ def shadow_status(t: Tables) -> DataFrame:
     return drift.shadow_status(_checks(t), later).select("in_shadow_mode", *_t("shadow_start"), "can_promote")
 
 
+def _checks_shifted(t: Tables) -> DataFrame:
+    if "checks_shifted" not in t.__dict__:
+        t.checks_shifted = materialize(drift.drift_check(t.history_shifted, t.as_of), "checks-shifted")
+    return t.checks_shifted
+
+
+@query
+def drift_check_shifted(t: Tables) -> DataFrame:
+    """A history that does drift: all three states occur."""
+    return _checks_shifted(t).select("feature_group", *_r("psi_score"), "features", "status", "triggered_retrain", *_t("detected_at"))
+
+
+@query
+def drift_events_shifted(t: Tables) -> DataFrame:
+    return drift.recent_drift_events(_checks_shifted(t), 5).select("drift_id", "feature_group", *_t("detected_at"), *_r("psi_score"))
+
+
+@query
+def drift_gate(t: Tables) -> DataFrame:
+    """A check three days after the last one is not due; one eight days after it is."""
+    found = None
+    for days in (3, 8):
+        last = t.as_of - F.make_dt_interval(days=F.lit(days))
+        part = drift.drift_check(t.history_shifted, t.as_of, last_check=last).select(
+            F.lit(days).alias("days"), "feature_group", "status", *_r("psi_score")
+        )
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query
+def shadow_states(t: Tables) -> DataFrame:
+    """Shadow mode after two and eight days, and after a promotion on the fifth day."""
+    found = None
+    day = lambda n: t.as_of + F.make_dt_interval(days=F.lit(n))
+    promoted = t.spark.range(1).select(day(5).alias("ts"))
+    for name, moment, promotions in (("young", day(2), None), ("old", day(8), None), ("promoted", day(8), promoted)):
+        part = drift.shadow_status(_checks_shifted(t), moment, promotions).select(
+            F.lit(name).alias("state"), "in_shadow_mode", *_t("shadow_start"), "can_promote"
+        )
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+# -- the plan for large, skewed tables ---------------------------------------------------------
+# The same results with keys of a few rows treated as hot: salted joins, sliced running totals.
+
+
+@query
+def edge_weights_split(t: Tables) -> DataFrame:
+    frequent = graph.weigh_edges(t.edges, graph.pair_windows(t.tel, SPLIT), t.nodes, SPLIT)
+    return frequent.select("src", "dst", *_r("frequency_score", "sensitivity_score", "deviation_score", "weight"))
+
+
+@query
+def rule_scores_split(t: Tables) -> DataFrame:
+    return detect.rule_scores(t.edges, t.nodes, t.as_of, None, SPLIT).select("src", "dst", *_r("rule_score"), "rule_triggered")
+
+
+@query
+def pagerank_split(t: Tables) -> DataFrame:
+    return centrality.pagerank(t.nodes, t.edges, SPLIT).select("node_id", r6("pagerank", 8).alias("pagerank"), "converged")
+
+
+@query
+def clustering_split(t: Tables) -> DataFrame:
+    return centrality.clustering(t.nodes, t.edges, SPLIT).select("node_id", "triangles", *_r("clustering"))
+
+
+@query
+def attack_paths_split(t: Tables) -> DataFrame:
+    return paths.attack_paths(t.live, t.starts, t.nodes, SPLIT).select(*_path_columns())
+
+
+@query
+def window_stats_split(t: Tables) -> DataFrame:
+    rows = t.tel.select(
+        F.col("source_node").alias("src"), "event_id", X.micros("ts").alias("at"), F.col("bytes_transferred").alias("value")
+    )
+    spans = {"current": SPLIT.current_us, "short": SPLIT.short_us, "long": SPLIT.long_us}
+    stats = windows.trailing_series(rows, ["src"], spans, SPLIT)
+    doubles = [f"{s}_{m}" for s in spans for m in ("mean", "std", "rate")]
+    return stats.select("src", "event_id", *[f"{s}_count" for s in spans], *_r(*doubles))
+
+
+# -- bulk graph: orders and line items -----------------------------------------------------------
+
+
+@query
+def pagerank_bulk(t: Tables) -> DataFrame:
+    return centrality.pagerank(t.bulk_nodes, t.bulk_edges).select("node_id", r6("pagerank", 8).alias("pagerank"), "converged")
+
+
+@query
+def clustering_bulk(t: Tables) -> DataFrame:
+    return centrality.clustering(t.bulk_nodes, t.bulk_edges).select("node_id", "triangles", *_r("clustering"))
+
+
 # -- streaming --------------------------------------------------------------------------------
 # The events arrive in four slices of about a week. A job runs until it has read what is there,
 # stops, and is started again from its checkpoint for the next slice.

@@ -133,6 +133,21 @@ class Tables:
         union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
         return union(scored), union(degrees)
 
+    @cached_property
+    def bulk_edges(self) -> DataFrame:
+        """Who trades with whom: customer to supplier, supplier to part, customer to part."""
+        read = lambda name: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        node = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+        lines = read("orders").select("o_orderkey", "o_custkey").join(
+            read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_partkey"), "o_orderkey"
+        ).select(node("c-", "o_custkey").alias("c"), node("s-", "l_suppkey").alias("s"), node("p-", "l_partkey").alias("p"))
+        ends = F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in ("cs", "sp", "cp")])
+        return materialize(lines.select(F.explode(ends).alias("e")).select("e.*").distinct(), "bulk-edges")
+
+    @cached_property
+    def bulk_nodes(self) -> DataFrame:
+        return materialize(self.bulk_edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct(), "bulk-nodes")
+
     @property
     def pass_scores(self) -> DataFrame:
         return self._passes[0]
@@ -156,6 +171,17 @@ class Tables:
             F.array(F.length("source_node").cast("double"), F.length("destination_node").cast("double")).alias("structural"),
         )
 
+    @cached_property
+    def history_shifted(self) -> DataFrame:
+        """The same with a last week of larger transfers and, at some hours, longer names."""
+        late = F.col("ts") >= self.as_of - F.make_dt_interval(days=F.lit(7))
+        factor = F.when(late, 4.0).otherwise(1.0)
+        longer = F.when(late & (F.hour("ts") < 6), 2.0).otherwise(0.0)
+        return self.history.select(
+            "ts", F.array(F.element_at("behavioral", 1) * factor, F.element_at("behavioral", 2)).alias("behavioral"), "temporal",
+            F.transform("structural", lambda x: x + longer).alias("structural"),
+        )
+
 
 _tables: dict[tuple[str, str], Tables] = {}
 
