@@ -21,7 +21,7 @@ HEADLINE = (
     "normalize_events", "node_merge", "edge_fold", "edge_weights", "edge_weights_pit", "window_stats",
     "node_temporal_features", "rule_scores", "pagerank", "clustering_coefficient", "node_features",
     "sage_embeddings", "edge_scores", "attack_paths", "containment_rules", "alert_build",
-    "embedding_drift", "drift_check", "stream_edge_state",
+    "embedding_drift", "drift_check", "stream_edge_state", "pagerank_bulk", "clustering_bulk",
 )
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.config import DEFAULT, Settings
-from palisade.operators.skew import hot_keys, replicate, salted_join, spread
+from palisade.operators.skew import hot_keys, hubs, renamed, replicate, salted_join, spread
 from palisade.storage import discard, materialize, store
 
 
@@ -23,8 +23,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, cfg: Settings = DEFAULT) -> Dat
     total = ids.count()
     degree = edges.groupBy("src").agg(F.count("*").alias("out_degree"))
     ends = edges.select(F.col("src").alias("node_id"), "dst")
-    out_rows = ends.groupBy("node_id").agg(F.count("*").alias("n"))
-    hot = hot_keys(out_rows, ["node_id"], "n", cfg, edges.count())
+    hot = renamed(hubs(edges, cfg).src, "src", "node_id")
     links = (
         spread(ends, ["node_id"], hot, ["dst"])
         .repartition("node_id", "_salt")

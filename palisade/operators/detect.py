@@ -8,16 +8,13 @@ from palisade.config import DEFAULT, Settings
 from palisade.functions import scalar as X
 from palisade.functions import vectors as V
 from palisade.operators.graph import temporal_deviation
-from palisade.operators.skew import hot_keys, salted_join
+from palisade.operators.skew import Hubs, hubs, salted_join
 
 
-def _attach_ends(edges: DataFrame, src_side: DataFrame, dst_side: DataFrame, cfg: Settings) -> DataFrame:
+def _attach_ends(edges: DataFrame, src_side: DataFrame, dst_side: DataFrame, found: Hubs) -> DataFrame:
     """Join per-node tables (keyed src / dst) to stored edges; hubs are salted on either side."""
-    out_rows = edges.groupBy("src").agg(F.count("*").alias("n"))
-    in_rows = edges.groupBy("dst").agg(F.count("*").alias("n"))
-    rows = edges.count()
-    joined = salted_join(edges, src_side, ["src"], hot_keys(out_rows, ["src"], "n", cfg, rows), ["dst"], "left")
-    return salted_join(joined, dst_side, ["dst"], hot_keys(in_rows, ["dst"], "n", cfg, rows), ["src"], "left")
+    joined = salted_join(edges, src_side, ["src"], found.src, ["dst"], "left")
+    return salted_join(joined, dst_side, ["dst"], found.dst, ["src"], "left")
 
 
 def _node_sides(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +29,7 @@ def _node_sides(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def edge_novelty(edges: DataFrame, nodes: DataFrame, as_of: Column, cfg: Settings = DEFAULT) -> DataFrame:
     src, dst = _node_sides(nodes)
     sensitive = F.coalesce("to_sensitive", F.lit(False))
-    return _attach_ends(edges, src, dst, cfg).select(
+    return _attach_ends(edges, src, dst, hubs(edges, cfg)).select(
         "src", "dst", X.novelty(F.col("first_seen"), sensitive, as_of, cfg).alias("novelty")
     )
 
@@ -80,7 +77,7 @@ def rule_scores(
         .when(spike, C.RULE_SPIKE)
         .otherwise("")
     )
-    return _attach_ends(edges, src, dst, cfg).select(
+    return _attach_ends(edges, src, dst, hubs(edges, cfg)).select(
         "src", "dst", score.alias("rule_score"), name.alias("rule_triggered"), "out_degree",
         reached.alias("reached_spike_rule"),
     )
@@ -122,7 +119,7 @@ def score_edges(
     )
     novelty = X.novelty(F.col("first_seen"), F.coalesce("to_sensitive", F.lit(False)), as_of, cfg)
     slim = edges.select("src", "dst", "first_seen")
-    near = _attach_ends(slim, src, dst, cfg).select(
+    near = _attach_ends(slim, src, dst, hubs(edges, cfg)).select(
         "src", "dst", F.col("drift").alias("d_b_embed"), novelty.alias("novelty"),
         V.cosine_distance(F.col("e_src"), F.col("e_dst")).alias("d_g"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import DEFAULT, Settings
 from palisade.functions import vectors as V
-from palisade.operators.skew import hot_keys, running, salted_join
+from palisade.operators.skew import hot_keys, hubs, renamed, running, salted_join
 from palisade.shipping import ship
 from palisade.storage import materialize
 
@@ -143,7 +143,7 @@ def embed(
     """
     receiver, peer = ("src", "dst") if direction == "out" else ("dst", "src")
     links = edges.select(F.col(receiver).alias("node_id"), F.col(peer).alias("peer"))
-    hot = hot_keys(links.groupBy("peer").agg(F.count("*").alias("n")), ["peer"], "n", cfg, links.count())
+    hot = renamed(getattr(hubs(edges, cfg), peer), peer, "peer")
     dtype = layers[0].own.dtype
     kind = "float" if dtype == np.float32 else "double"
     state = features.select("node_id", F.col("vector").cast(f"array<{kind}>").alias("h"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from palisade import config as C
 from palisade.config import DEFAULT, Settings
 from palisade.functions import scalar as X
-from palisade.operators.skew import hot_keys, running, salted_join
+from palisade.operators.skew import hot_keys, hubs, running, salted_join
 from palisade.operators.telemetry import endpoints
 from palisade.operators.windows import trailing_at_last
 
@@ -149,9 +149,8 @@ def weigh_edges(
     ``frequency`` the counts are compared as they stand now; pass `point_in_time_frequency` for the
     value each edge had at its own last event.
     """
-    out_rows = edges.groupBy("src").agg(F.max("event_count").alias("busiest"), F.count("*").alias("n"))
-    in_rows = edges.groupBy("dst").agg(F.count("*").alias("n"))
-    rows = edges.count()
+    busiest = edges.groupBy("src").agg(F.max("event_count").alias("busiest"))
+    found = hubs(edges, cfg)
     gap = temporal_deviation(windows, cfg).withColumnRenamed("deviation", "deviation_score")
     scored = edges.join(gap, ["src", "dst"], "left").withColumn(
         "deviation_score", F.coalesce("deviation_score", F.lit(0.0))
@@ -159,14 +158,11 @@ def weigh_edges(
 
     levels = nodes.select(F.col("node_id").alias("dst"), "since_2", "since_3", "since_4")
     scored = salted_join(
-        scored, levels, ["dst"], hot_keys(in_rows, ["dst"], "n", cfg, rows), ["src"], "left"
+        scored, levels, ["dst"], found.dst, ["src"], "left"
     ).withColumn("sensitivity_score", level_at(F.col("last_seen")) / F.lit(float(C.CRITICAL)))
 
     if frequency is None:
-        scored = salted_join(
-            scored, out_rows.select("src", "busiest"), ["src"],
-            hot_keys(out_rows, ["src"], "n", cfg, rows), ["dst"],
-        ).withColumn("frequency_score", F.col("event_count") / F.col("busiest"))
+        scored = salted_join(scored, busiest, ["src"], found.src, ["dst"]).withColumn("frequency_score", F.col("event_count") / F.col("busiest"))
     else:
         scored = scored.join(frequency, ["src", "dst"])
     blend = X.weight(F.col("frequency_score"), F.col("sensitivity_score"), F.col("deviation_score"), cfg)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from palisade.config import DEFAULT, Settings
 from palisade.functions import scalar as X
 from palisade.operators.graph import sensitive_nodes
-from palisade.operators.skew import hot_keys, replicate, spread
+from palisade.operators.skew import hubs, replicate, spread
 from palisade.storage import materialize
 
 
@@ -20,8 +20,7 @@ def attack_paths(
     h: a join with the edges and a min per (start, node), which combines map-side. Each hop's
     winners are stored. Edges of hot sources are salted by their target.
     """
-    degree = edges.groupBy("src").agg(F.count("*").alias("n"))
-    hot = hot_keys(degree, ["src"], "n", cfg, edges.count())
+    hot = hubs(edges, cfg).src
     links = materialize(
         spread(
             edges.select("src", "dst", F.coalesce(F.col(weight), F.lit(cfg.default_weight)).alias("w")),

@@ -6,6 +6,7 @@ it is broadcast. Everything else goes through ordinary shuffles.
 """
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,30 @@ def hot_keys(
     return None if hot.isEmpty() else hot
 
 
+class Hubs(NamedTuple):
+    """Hot sources and hot targets of an edge table (src / dst, _parts); None where there are none."""
+
+    rows: int
+    src: DataFrame | None
+    dst: DataFrame | None
+
+
+def hubs(edges: DataFrame, cfg: Settings = DEFAULT) -> Hubs:
+    """The hubs of a stored edge table, found once for all operators that are given the same table."""
+    known = edges.__dict__.setdefault("_palisade_hubs", {})
+    if cfg not in known:
+        rows = edges.count()
+        ends = [
+            hot_keys(edges.groupBy(end).agg(F.count("*").alias("n")), [end], "n", cfg, rows) for end in ("src", "dst")
+        ]
+        known[cfg] = Hubs(rows, *ends)
+    return known[cfg]
+
+
+def renamed(hot: DataFrame | None, old: str, new: str) -> DataFrame | None:
+    return hot if hot is None or old == new else hot.withColumnRenamed(old, new)
+
+
 def spread(df: DataFrame, keys: Sequence[str], hot: DataFrame | None, by: Sequence[str]) -> DataFrame:
     """Add ``_salt``: rows of a hot key are spread over its parts by a hash of ``by``.
 
