@@ -9,6 +9,7 @@ from palisade.llm.passages import op8_passages
 from palisade.llm.positional import op5_decontaminate
 from palisade.llm.quality import op4_quality
 from palisade.llm.secrets import op1_secrets
+from palisade.llm.sql import SQL as SQL
 from palisade.llm.toxicity import op9_toxicity
 
 QUERIES = {
@@ -23,4 +24,3 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_lm": op10_lm,
 }
-SQL: dict[str, str] = {}
