@@ -661,6 +661,12 @@ BODIES |= {
 }
 
 
+BODIES["stream_alerts"] = " UNION ALL ".join(
+    f"SELECT sha256('alert|' || epoch_us(t)) AS alert_id, 'LOW' AS severity, t AS created_at, n AS total_flagged_edges, round(top, 6) AS max_score "
+    f"FROM (SELECT count(*) AS n, max(rule_score) AS top FROM step_rules_{i} WHERE rule_score > 0.7 HAVING count(*) > 0), "
+    f"(SELECT max(t) AS t FROM marks WHERE slice <= {i})"
+    for i in range(4)
+)
 for _name in ("edge_weights", "rule_scores", "pagerank", "attack_paths", "window_stats"):
     BODIES[f"{_name}_split"] = BODIES[_name]
 BODIES["clustering_split"] = BODIES["clustering_coefficient"]

@@ -800,6 +800,20 @@ def stream_detection(t: Tables) -> DataFrame:
     )
 
 
+@query
+def stream_alerts(t: Tables) -> DataFrame:
+    """Alerts of the detection stream, sent on once per batch."""
+    folder = _arrive(t, lambda s, f: jobs.detect_stream(s, f"{f}/state", f"{f}/out", f"{f}/ck"))
+
+    def publish(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/sent/batch_id={number}")
+
+    jobs.drain(jobs.alert_stream(jobs.read_alerts(t.spark, f"{folder}/state"), publish, f"{folder}/alert-ck"))
+    return t.spark.read.parquet(f"{folder}/sent").select(
+        "alert_id", "severity", *_t("created_at"), "total_flagged_edges", *_r("max_score")
+    )
+
+
 @query
 def detection_passes(t: Tables) -> DataFrame:
     """Two full passes a week apart, the second against the baselines of the first."""

@@ -98,6 +98,24 @@ def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     assert edge["event_count"] == 2
 
 
+def test_a_stream_that_dies_before_its_commit_counts_once(spark, tmp_path):
+    tel = _events(spark, [(0, "a", "db-1", "x"), (1, "b", "db-1", "y"), (2, "a", "db-1", "x")])
+    tel.write.parquet(f"{tmp_path}/in")
+
+    def run():
+        stream = spark.readStream.schema(tel.schema).parquet(f"{tmp_path}/in")
+        jobs.drain(jobs.detect_stream(stream, f"{tmp_path}/state", f"{tmp_path}/out", f"{tmp_path}/ck"))
+        edges = sorted(map(tuple, jobs.merged_edges(spark, f"{tmp_path}/state/edges").select("src", "dst", "event_count").collect()))
+        return edges, sorted(map(tuple, spark.read.parquet(f"{tmp_path}/state/alerts").collect()))
+
+    before = run()
+    commits = sorted(p for p in Path(tmp_path, "ck/commits").iterdir() if p.name.isdigit())
+    commits[-1].unlink()
+    Path(tmp_path, "ck/commits", f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    assert run() == before
+    assert before[0] == [("a", "db-1", 2), ("b", "db-1", 1)] and len(before[1]) == 1
+
+
 def test_from_another_folder_with_a_shared_folder(tmp_path):
     """The package reaches the workers by itself, and stored tables go to spark.checkpoint.dir."""
     root = Path(__file__).resolve().parent.parent
