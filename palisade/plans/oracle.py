@@ -494,6 +494,36 @@ for _name in _graph:
     )
 
 
+# -- two full passes a week apart
+def _needed(name: str, seen: dict[str, None]) -> dict[str, None]:
+    for other in re.findall(r"\b[a-z_]+[0-9]*\b", CTES[name]):
+        if other in CTES and other not in seen and other != name:
+            seen[other] = None
+            _needed(other, seen)
+    return seen
+
+
+_first = [n for n in ["scores", *_needed("scores", {})] if n != "ev"]
+for _name in _first:
+    CTES[f"old_{_name}"] = re.sub(r"\b(" + "|".join(_first) + r")\b", r"old_\1", CTES[_name])
+CTES["old_latest"] = "SELECT t - INTERVAL 7 DAYS AS t FROM latest"
+CTES["old_tel"] = "SELECT * FROM tel WHERE ts <= (SELECT t FROM old_latest)"
+CTES["old_degree"] = "SELECT src, max(out_degree)::DOUBLE AS baseline FROM old_rules GROUP BY src HAVING bool_or(reached)"
+CTES["then_rules"] = _rules("edges", _NOW, "old_degree")
+CTES["then_drift"] = """
+SELECT node_id, CASE WHEN sum(e * e) = 0 OR sum(b * b) = 0 THEN 0
+  ELSE (1 - sum(e * b) / (sqrt(sum(e * e)) * sqrt(sum(b * b)))) / 2 END AS drift
+FROM (SELECT n.node_id, n.x AS e, 0.95 * o.x + 0.05 * n.x AS b FROM so_3 n JOIN old_so_3 o ON o.node_id = n.node_id AND o.i = n.i) GROUP BY 1"""
+CTES["then_scores"] = f"""
+SELECT *, greatest(gnn_score, rule_score) AS total_score, greatest(gnn_score, rule_score) > 0.7 AS is_flagged FROM (
+  SELECT *, 0.5::DOUBLE * d_b + 0.3::DOUBLE * d_t + 0.2::DOUBLE * d_g AS gnn_score FROM (
+    SELECT e.src, e.dst, greatest(coalesce(f.drift, 0), {_fresh(_NOW, 'd.since_3 IS NOT NULL')}) AS d_b, g.deviation AS d_t, c.d_g,
+      r.rule_score, r.rule_triggered
+    FROM edges e JOIN nodes d ON d.node_id = e.dst JOIN gap g ON g.src = e.src AND g.dst = e.dst
+    JOIN cosd c ON c.src = e.src AND c.dst = e.dst JOIN then_rules r ON r.src = e.src AND r.dst = e.dst
+    LEFT JOIN then_drift f ON f.node_id = e.src))"""
+
+
 def _drift_replay(source: str) -> str:
     return f"""
 WITH RECURSIVE seq AS (
@@ -661,6 +691,9 @@ BODIES |= {
 }
 
 
+_scored = f"src, dst, {_r('d_b', 'd_t', 'd_g', 'rule_score', 'total_score')}, rule_triggered, is_flagged"
+BODIES["detection_passes"] = f"""SELECT CAST(0 AS INTEGER) AS pass_no, {_scored} FROM old_scores
+      UNION ALL SELECT 1, {_scored} FROM then_scores"""
 BODIES["stream_alerts"] = " UNION ALL ".join(
     f"SELECT sha256('alert|' || epoch_us(t)) AS alert_id, 'LOW' AS severity, t AS created_at, n AS total_flagged_edges, round(top, 6) AS max_score "
     f"FROM (SELECT count(*) AS n, max(rule_score) AS top FROM step_rules_{i} WHERE rule_score > 0.7 HAVING count(*) > 0), "
