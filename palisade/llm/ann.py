@@ -31,7 +31,7 @@ RECALL = 0.95
 HIDDEN = 128
 K = 20
 #: Queries of a block, and least and most rows of a slice.
-QUERIES, LEAST_ROWS, MOST_ROWS = 2048, 256, 20_000
+QUERIES, LEAST_ROWS, MOST_ROWS = 2048, 2048, 20_000
 
 
 def usable(vectors: DataFrame, id_name: str = "vec_id", name: str = "embedding") -> DataFrame:
