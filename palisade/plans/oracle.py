@@ -691,7 +691,7 @@ BODIES |= {
 }
 
 
-_scored = f"src, dst, {_r('d_b', 'd_t', 'd_g', 'rule_score', 'total_score')}, rule_triggered, is_flagged"
+_scored = f"src, dst, {_r('d_b', 'd_t', 'rule_score', 'total_score')}, round(d_g, 5) AS d_g, rule_triggered, is_flagged"
 BODIES["detection_passes"] = f"""SELECT CAST(0 AS INTEGER) AS pass_no, {_scored} FROM old_scores
       UNION ALL SELECT 1, {_scored} FROM then_scores"""
 BODIES["stream_alerts"] = " UNION ALL ".join(

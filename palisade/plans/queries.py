@@ -821,5 +821,5 @@ def detection_passes(t: Tables) -> DataFrame:
     for n in range(2):
         detection.run_pass(t.tel, t.as_of_pass(2 + n), state, n, embed.formula_layers())
     return detection.read_passes(t.spark, state, "scores").select(
-        "pass_no", "src", "dst", *_r("d_b", "d_t", "d_g", "rule_score", "total_score"), "rule_triggered", "is_flagged"
+        "pass_no", "src", "dst", *_r("d_b", "d_t", "rule_score", "total_score"), r6("d_g", 5).alias("d_g"), "rule_triggered", "is_flagged"
     )
