@@ -26,7 +26,7 @@ SIZES = (3, 4, 5)
 BITS = 18
 DIMENSIONS = 8
 #: Bounds of the sample.
-TOXIC, CLEAN = 2000, 4000
+TOXIC, CLEAN = 3000, 9000
 LEAST = 5
 EPOCHS, RATE = 4, 0.25
 

@@ -145,3 +145,9 @@ def test_toxicity_edges(spark, awkward, no_documents, docs, labels):
     assert toxicity.train(docs, odd) is not None
     assert {r["score"] for r in toxicity.predict(awkward, None, held).collect()} == {0.5}
     assert toxicity.predict(no_documents, model, held).count() == 0
+
+
+def test_toxicity_sample_is_not_shrunk_to_fit_a_memory_limit():
+    from palisade.llm import toxicity
+
+    assert (toxicity.TOXIC, toxicity.CLEAN) == (3000, 9000)
