@@ -5,6 +5,7 @@ from palisade.llm.bpe import op2_bpe
 from palisade.llm.jaccard import op3_jaccard
 from palisade.llm.language import op6_language
 from palisade.llm.lm import op10_lm
+from palisade.llm.merkle import op11_merkle
 from palisade.llm.passages import op8_passages
 from palisade.llm.positional import op5_decontaminate
 from palisade.llm.quality import op4_quality
@@ -23,4 +24,5 @@ QUERIES = {
     "op8_passages": op8_passages,
     "op9_toxicity": op9_toxicity,
     "op10_lm": op10_lm,
+    "op11_merkle": op11_merkle,
 }
