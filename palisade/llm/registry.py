@@ -11,7 +11,9 @@ from palisade.llm.positional import op5_decontaminate
 from palisade.llm.quality import op4_quality
 from palisade.llm.secrets import op1_secrets
 from palisade.llm.sql import SQL as SQL
+from palisade.llm.token_files import op12_token_files
 from palisade.llm.toxicity import op9_toxicity
+from palisade.llm.vector_codes import op13_vector_codes
 
 QUERIES = {
     "op1_secrets": op1_secrets,
@@ -25,4 +27,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_lm": op10_lm,
     "op11_merkle": op11_merkle,
+    "op12_token_files": op12_token_files,
+    "op13_vector_codes": op13_vector_codes,
 }
