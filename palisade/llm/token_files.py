@@ -15,12 +15,15 @@ documents gives no rows; other columns are not looked at.
 """
 
 import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,8 +33,10 @@ from palisade.storage import new_path
 
 TOKENIZER, END = "word_bpe_49k.json", 1
 BLOCK, STRIDE, LIMIT = 1 << 16, 1 << 8, 18
-#: Words that a worker remembers, and bytes of the longest one.
-MEMORY, LONGEST = 400_000, 64
+#: Words, and pieces of words, that a worker remembers, and characters of the longest word.
+MEMORY, LONGEST = 800_000, 64
+#: Words that are looked up at once.
+WORDS = 1 << 19
 BLOCKS = (
     "shard int, first long, n int, checkpoints array<int>, bits binary, "
     "documents array<struct<doc_id: long, row: long, at: int, n: int, after: long>>"
@@ -46,41 +51,83 @@ ARROW_BLOCKS = pa.schema([
 # -- texts to ids ----------------------------------------------------------------------------------
 
 
-class Words(dict):
+class Words:
     """Ids, as packed bytes, of each word between ASCII white space.
 
-    The tokenizer drops white space and never looks across it, so a text's ids are those of its words in a row; the
-    library encodes each word once per worker.
+    The tokenizer drops white space and never looks across it, so a text's ids are those of its words in a row, and each
+    word is encoded once per worker. A word of ASCII and Latin-1 letters is cut where the tokenizer's own pattern cuts it
+    (for these characters its normalisation is lower case alone); unknown pieces go to the library as one text, which is
+    parted again at the ids that end a piece. Other words, and those that may hold a special token, go there one by one.
     """
 
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.kind = width(path)
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.ends = np.zeros(1 << 8 * np.dtype(self.kind).itemsize if self.kind == "<u2" else self.library.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
 
-    def fresh(self, words: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+    def fresh(self, words: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in {*words} if w not in self and len(w) <= LONGEST]
-        if len(self) + len(new) > MEMORY:
-            self.clear()
-            new = [w for w in {*words} if len(w) <= LONGEST]
-        self.update(zip(new, self.fresh(new)))
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.fresh([word])[0]
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()  # for bytes: ASCII white space only
-        out = []
-        for at in range(0, len(words), MEMORY // 4):
-            some = words[at : at + MEMORY // 4]
-            self.learn(some)
-            out += map(self.__getitem__, some)
-        return b"".join(out)
+    def learn_pieces(self, pieces: set[str]) -> None:
+        new = [p for p in pieces if p not in self.pieces]
+        if len(self.pieces) + len(new) > MEMORY:
+            self.pieces.clear()
+            new = list(pieces)
+        for at in range(0, len(new), 1000):
+            some = new[at : at + 1000]
+            raw = self.fresh([" ".join(some)])[0]
+            ids = np.frombuffer(raw, self.kind)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            if len(ends) == len(some):
+                self.pieces.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+            else:  # a tokenizer whose pieces do not end like this
+                self.pieces.update(zip(some, self.fresh(some)))
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Packed ids of different words."""
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > MEMORY:
+            self.words.clear()
+            new = words
+        plain = [self.PLAIN.fullmatch(w) is not None and "<|" not in w for w in new]
+        cut = [self.PIECES.findall(w.lower()) if p else [] for w, p in zip(new, plain)]
+        self.learn_pieces({piece for pieces in cut for piece in pieces})
+        other = iter(self.fresh([w for w, p in zip(new, plain) if not p]))
+        known = self.pieces
+        self.words.update((w, b"".join([known[x] for x in pieces]) if p else next(other)) for w, p, pieces in zip(new, plain, cut))
+        found = [self.words[w] for w in words]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.words[w]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and where each text's end."""
+        split = pc.ascii_split_whitespace(texts)
+        words, size = split.flatten(), np.dtype(self.kind).itemsize
+        ids, counts = [np.zeros(0, self.kind)], [np.zeros(1, np.int64)]
+        for at in range(0, len(words), WORDS):
+            some = words.slice(at, WORDS).dictionary_encode()
+            packed = self.ids_of(some.dictionary.to_pylist())
+            lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // size
+            which = some.indices.to_numpy()
+            own = lengths[which]
+            ends = np.cumsum(own)
+            begin = np.cumsum(lengths) - lengths
+            ids.append(np.frombuffer(b"".join(packed), self.kind)[np.repeat(begin[which] - (ends - own), own) + np.arange(ends[-1])])
+            counts.append(own)
+        places = np.cumsum(np.concatenate(counts))
+        return np.concatenate(ids), places[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))]
 
 
 _words: dict[str, Words] = {}
@@ -112,10 +159,9 @@ def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         own = words_of(path)
         last = np.array([end], own.kind).tobytes()
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([own.encode(t.as_py()) + last for t in texts], pa.binary())], ["doc_id", "ids"]
-            )
+            found, ends = own.encode(batch.column("text"))
+            ids = [found[a:b].tobytes() + last for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return map_batches(documents(docs).withColumn("doc_id", F.col("doc_id").cast("long")), run, "doc_id long, ids binary")
 

@@ -4,6 +4,7 @@ import heapq
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,7 +48,9 @@ def files(spark, docs):
 @given(st.text(st.one_of(st.sampled_from(" \t\n\r\x0b\x0c\x1c\x85\xa0 ̧́ΣσςİIı'sté<|endoftext>09٣"), st.characters(codec="utf-8")), max_size=60))
 def test_words_encode_as_whole_texts(text):
     own = T.words_of(T.tokenizer_path())
-    assert np.frombuffer(own.encode(text.encode()), own.kind).tolist() == whole(own.library, text)[:-1]
+    ids, ends = own.encode(pa.array([text, "", text + " a"]))
+    alone = whole(own.library, text)[:-1]
+    assert ids.tolist() == alone * 2 + whole(own.library, "a")[:-1] and ends.tolist()[:2] == [len(alone)] * 2
 
 
 def huffman_bits(counts) -> int:
