@@ -16,7 +16,6 @@ documents gives no rows; other columns are not looked at.
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -33,10 +32,10 @@ from palisade.storage import new_path
 
 TOKENIZER, END = "word_bpe_49k.json", 1
 BLOCK, STRIDE, LIMIT = 1 << 16, 1 << 8, 18
-#: Words, and pieces of words, that a worker remembers, and characters of the longest word.
+#: Pieces of words that a worker remembers, and characters of the longest one.
 MEMORY, LONGEST = 800_000, 64
 #: Words that are looked up at once.
-WORDS = 1 << 19
+WORDS = 1 << 20
 BLOCKS = (
     "shard int, first long, n int, checkpoints array<int>, bits binary, "
     "documents array<struct<doc_id: long, row: long, at: int, n: int, after: long>>"
@@ -51,81 +50,104 @@ ARROW_BLOCKS = pa.schema([
 # -- texts to ids ----------------------------------------------------------------------------------
 
 
+def gathered(flat: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that start at ``begin``, one after the other."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(begin - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Words:
-    """Ids, as packed bytes, of each word between ASCII white space.
+    """Ids of texts by way of their different words and the words' different pieces.
 
-    The tokenizer drops white space and never looks across it, so a text's ids are those of its words in a row, and each
-    word is encoded once per worker. A word of ASCII and Latin-1 letters is cut where the tokenizer's own pattern cuts it
-    (for these characters its normalisation is lower case alone); unknown pieces go to the library as one text, which is
-    parted again at the ids that end a piece. Other words, and those that may hold a special token, go there one by one.
+    The tokenizer drops white space and never looks across it, so a text's ids are those of its words in a row. A word of
+    ASCII and Latin-1 letters is cut where the tokenizer's own pattern cuts it (for these characters its normalisation is
+    lower case alone), and the library encodes each piece once per worker: many as one text, which is parted again at the
+    ids that end a piece. Other words, and those that may hold a special token, are encoded one by one; with a tokenizer
+    of another pattern whole texts are.
     """
 
-    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    #: The pattern that this way holds for.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
+    PIECES = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.library, self.cut = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.cut.normalizer = normalizers.Sequence([])
+        self.cut.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+        ])
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        steps = [step["type"] for step in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.known = steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("pattern") == {"Regex": self.PATTERN}
         self.kind = width(path)
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.ends = np.zeros(1 << 8 * np.dtype(self.kind).itemsize if self.kind == "<u2" else self.library.get_vocab_size(), bool)
+        self.ends = np.zeros(1 << 16 if self.kind == "<u2" else self.library.get_vocab_size(), bool)
         self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
 
-    def fresh(self, words: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(words, add_special_tokens=False)
+    def packed(self, texts: list[str], library=None) -> list[bytes]:
+        found = (library or self.library).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def learn_pieces(self, pieces: set[str]) -> None:
+    def piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of different pieces."""
         new = [p for p in pieces if p not in self.pieces]
         if len(self.pieces) + len(new) > MEMORY:
             self.pieces.clear()
-            new = list(pieces)
+            new = pieces
         for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            raw = self.fresh([" ".join(some)])[0]
+            some = [p for p in new[at : at + 1000] if p]
+            raw = self.packed([" ".join(some)], self.cut)[0]
             ids = np.frombuffer(raw, self.kind)
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
-            if len(ends) == len(some):
-                self.pieces.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-            else:  # a tokenizer whose pieces do not end like this
-                self.pieces.update(zip(some, self.fresh(some)))
-
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """Packed ids of different words."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > MEMORY:
-            self.words.clear()
-            new = words
-        plain = [self.PLAIN.fullmatch(w) is not None and "<|" not in w for w in new]
-        cut = [self.PIECES.findall(w.lower()) if p else [] for w, p in zip(new, plain)]
-        self.learn_pieces({piece for pieces in cut for piece in pieces})
-        other = iter(self.fresh([w for w, p in zip(new, plain) if not p]))
-        known = self.pieces
-        self.words.update((w, b"".join([known[x] for x in pieces]) if p else next(other)) for w, p, pieces in zip(new, plain, cut))
-        found = [self.words[w] for w in words]
-        for w in new:
-            if len(w) > LONGEST:
-                del self.words[w]
-        return found
+            if len(ends) != len(some):
+                raise ValueError("the ids of a piece do not end with its last one")
+            self.pieces.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        out = [self.pieces[p] if p else b"" for p in pieces]
+        for p in new:
+            if len(p) > LONGEST:
+                del self.pieces[p]
+        return out
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different words: their ids in a row, and where those of each word begin and how many they are."""
+        size = np.dtype(self.kind).itemsize
+        plain = pc.and_(pc.match_substring_regex(words, self.PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), self.PIECES, r"\1 "))
+        pieces = cut.flatten().dictionary_encode()
+        packed = self.piece_ids(pieces.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // size
+        which = pieces.indices.to_numpy()
+        own = gathered(np.frombuffer(b"".join(packed), self.kind), (np.cumsum(lengths) - lengths)[which], lengths[which])
+        totals = np.cumsum(np.concatenate([[0], lengths[which]]))
+        edges = totals[np.cumsum(np.concatenate([[0], pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)]))]
+        other = self.packed(words.filter(pc.invert(plain)).to_pylist())
+        plain = plain.to_numpy(zero_copy_only=False)
+        counts = np.empty(len(words), np.int64)
+        counts[plain], counts[~plain] = np.diff(edges), [len(x) // size for x in other]
+        begin = np.empty(len(words), np.int64)
+        begin[plain], begin[~plain] = edges[:-1], len(own) + np.cumsum(counts[~plain]) - counts[~plain]
+        return np.concatenate([own, np.frombuffer(b"".join(other), self.kind)]), begin, counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's end."""
+        if not self.known:
+            packed = self.packed(texts.to_pylist())
+            return np.frombuffer(b"".join(packed), self.kind), np.cumsum([len(x) for x in packed], dtype=np.int64) // np.dtype(self.kind).itemsize
         split = pc.ascii_split_whitespace(texts)
-        words, size = split.flatten(), np.dtype(self.kind).itemsize
+        words = split.flatten()
         ids, counts = [np.zeros(0, self.kind)], [np.zeros(1, np.int64)]
         for at in range(0, len(words), WORDS):
             some = words.slice(at, WORDS).dictionary_encode()
-            packed = self.ids_of(some.dictionary.to_pylist())
-            lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // size
+            flat, begin, sizes = self.word_ids(some.dictionary)
             which = some.indices.to_numpy()
-            own = lengths[which]
-            ends = np.cumsum(own)
-            begin = np.cumsum(lengths) - lengths
-            ids.append(np.frombuffer(b"".join(packed), self.kind)[np.repeat(begin[which] - (ends - own), own) + np.arange(ends[-1])])
-            counts.append(own)
+            counts.append(sizes[which])
+            ids.append(gathered(flat, begin[which], counts[-1]))
         places = np.cumsum(np.concatenate(counts))
         return np.concatenate(ids), places[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))]
 
@@ -198,8 +220,7 @@ class Codebook(NamedTuple):
 
     code: np.ndarray
     length: np.ndarray
-    symbols: np.ndarray
-    sizes: np.ndarray
+    table: np.ndarray  # by the next ``limit`` bits: the id and, in the lowest six bits, the length of its code
     limit: int
 
     @classmethod
@@ -212,10 +233,9 @@ class Codebook(NamedTuple):
         starts = np.cumsum(span) - span
         code, length = np.zeros(int(ids.max(initial=0)) + 1, np.uint64), np.zeros(int(ids.max(initial=0)) + 1, np.int64)
         code[ids], length[ids] = starts >> (limit - lengths), lengths
-        symbols, sizes = np.zeros(1 << limit, np.uint32), np.ones(1 << limit, np.uint8)
-        used = int(span.sum())
-        symbols[:used], sizes[:used] = np.repeat(ids, span), np.repeat(lengths, span)
-        return cls(code, length, symbols, sizes, limit)
+        table = np.ones(1 << limit, np.int64)
+        table[: int(span.sum())] = np.repeat(ids.astype(np.int64) << 6 | lengths, span)
+        return cls(code, length, table, limit)
 
 
 def pack(ids: np.ndarray, book: Codebook) -> tuple[bytes, np.ndarray]:
@@ -235,21 +255,21 @@ def pack(ids: np.ndarray, book: Codebook) -> tuple[bytes, np.ndarray]:
 
 def unpack(bits: list[bytes], checkpoints: list[np.ndarray], counts: list[int], book: Codebook) -> list[np.ndarray]:
     """The ids of blocks: ``counts`` of each, from its bits and the offsets of its lanes' beginnings."""
-    padded = [b + bytes(-len(b) % 4 + 8) for b in bits]
-    words = np.frombuffer(b"".join(padded), ">u4").astype(np.uint64)
+    padded = [b + bytes(-len(b) % 4) for b in bits]
+    spare = bytes(STRIDE * book.limit // 8 + 8)  # lanes that are done run on until the others are
+    words = np.frombuffer(b"".join([*padded, spare, b"\0" * (-len(spare) % 4)]), ">u4").astype(np.uint64)
     pairs = words << np.uint64(32)
     pairs[:-1] |= words[1:]
+    pairs = pairs.view(np.int64)
     begin = np.cumsum([0, *map(len, padded)])[:-1] * 8
     at = np.concatenate([c.astype(np.int64) + b for c, b in zip(checkpoints, begin)])
     sizes = np.concatenate([np.minimum(STRIDE, n - STRIDE * np.arange(len(c))) for c, n in zip(checkpoints, counts)])
-    top = (len(words) - 1) * 32
-    out = np.empty((len(at), STRIDE), np.uint32)
-    mask = np.uint64((1 << book.limit) - 1)
+    out = np.empty((STRIDE, len(at)), np.int64)
+    mask, left = (1 << book.limit) - 1, 64 - book.limit
     for step in range(int(sizes.max(initial=0))):
-        window = ((pairs[at >> 5] >> (64 - book.limit - (at & 31)).astype(np.uint64)) & mask).astype(np.int64)
-        out[:, step] = book.symbols[window]
-        at = np.minimum(at + book.sizes[window], top)  # lanes that are done run on until the others are
-    flat = out[np.arange(STRIDE) < sizes[:, None]]
+        out[step] = found = book.table[(pairs[at >> 5] >> (left - (at & 31))) & mask]
+        at += found & 63
+    flat = (out.T >> 6)[np.arange(STRIDE) < sizes[:, None]].astype(np.uint32)
     return np.split(flat, np.cumsum(counts)[:-1])
 
 
