@@ -80,6 +80,41 @@ def fold_edges(tel: DataFrame, as_of: Column | None = None) -> DataFrame:
     )
 
 
+def merge_edges(parts: DataFrame) -> DataFrame:
+    """Edge folds of several parts as one. Late rows only widen first_seen / last_seen."""
+    merged = parts.groupBy("src", "dst").agg(
+        F.sum("event_count").alias("event_count"),
+        F.sum("bytes_total").alias("bytes_total"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.max("lateral_tool").alias("lateral_tool"),
+        F.min("admin_port").alias("admin_port"),
+    )
+    lists = (
+        parts.select("src", "dst", F.explode("protocols").alias("p")).distinct()
+        .groupBy("src", "dst").agg(F.array_sort(F.collect_list("p")).alias("protocols"))
+    )
+    none = F.array().cast("array<string>")
+    joined = merged.join(lists, ["src", "dst"], "left").withColumn("protocols", F.coalesce("protocols", none))
+    return joined.select(parts.columns)
+
+
+def merge_node_parts(parts: DataFrame) -> DataFrame:
+    """Node folds of several parts as one: the earliest record names type and ip, sensitivity only rises."""
+    first = F.min(F.struct("first_ts", "first_role", "node_type", "ip_address"))
+    return parts.groupBy("node_id").agg(
+        first.alias("f"),
+        F.max("sensitivity").alias("sensitivity"),
+        F.max("is_critical").alias("is_critical"),
+        F.sum("event_count").alias("event_count"),
+        *[F.min(f"since_{k}").alias(f"since_{k}") for k in (2, 3, 4)],
+    ).select(
+        "node_id", F.col("f.node_type").alias("node_type"), "sensitivity", "is_critical",
+        F.col("f.ip_address").alias("ip_address"), "event_count", "since_2", "since_3", "since_4",
+        F.col("f.first_ts").alias("first_ts"), F.col("f.first_role").alias("first_role"),
+    )
+
+
 def edge_metadata(tel: DataFrame) -> DataFrame:
     """Every (process, port) seen on an edge, in long form so that no list has to fit in a row."""
     return (
@@ -96,15 +131,27 @@ def pair_windows(tel: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
     Self-loops are kept: they take part in window statistics although they are not edges.
     """
-    rows = tel.select(
+    return trailing_at_last(pair_rows(tel), ["src", "dst"], pair_spans(cfg), cfg)
+
+
+def pair_spans(cfg: Settings = DEFAULT) -> dict[str, int]:
+    return {"current": cfg.current_us, "short": cfg.short_us, "long": cfg.long_us}
+
+
+def pair_rows(tel: DataFrame) -> DataFrame:
+    """What the windows of pairs count: src, dst, event_id, at (micros), value."""
+    return tel.select(
         F.col("source_node").alias("src"),
         F.col("destination_node").alias("dst"),
         "event_id",
         X.micros("ts").alias("at"),
         F.col("bytes_transferred").alias("value"),
     )
-    spans = {"current": cfg.current_us, "short": cfg.short_us, "long": cfg.long_us}
-    return trailing_at_last(rows, ["src", "dst"], spans, cfg)
+
+
+def by_node(rows: DataFrame) -> DataFrame:
+    """Rows of pairs as rows of both their ends."""
+    return rows.select(F.explode(F.array("src", "dst")).alias("node_id"), "at", "value")
 
 
 def node_windows(tel: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -112,7 +159,11 @@ def node_windows(tel: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     rows = endpoints(tel).select(
         "node_id", "event_id", X.micros("ts").alias("at"), F.col("bytes_transferred").alias("value")
     )
-    stats = trailing_at_last(rows, ["node_id"], {"short": cfg.short_us}, cfg, deviation=True)
+    return node_activity(trailing_at_last(rows, ["node_id"], {"short": cfg.short_us}, cfg, deviation=True))
+
+
+def node_activity(stats: DataFrame) -> DataFrame:
+    """Day-long trailing statistics under the names of the features."""
     return stats.select(
         "node_id",
         F.col("short_count").alias("activity_count"),

@@ -11,34 +11,49 @@ from palisade.operators.paths import by_risk
 from palisade.operators.skew import hot_keys, salted_join
 
 
-def event_tactics(tel: DataFrame, flagged: DataFrame) -> DataFrame:
-    """Tactic labels seen on events of flagged edges, with a rank by first appearance.
+def keyword_hits(tel: DataFrame) -> DataFrame:
+    """src, dst, k, ts: when an edge's events first matched the k-th keyword. Eight rows per edge at most.
 
-    The eight keywords are matched as expressions. Events are folded to distinct (edge, process,
-    type) before they meet the flagged edges, so a busy edge is one row per task.
+    The keywords are matched as expressions on rows folded to distinct (edge, process, type), so a busy edge is one row
+    per task.
     """
     seen = tel.groupBy(
         F.col("source_node").alias("src"), F.col("destination_node").alias("dst"), "process", "event_type"
     ).agg(F.min("ts").alias("ts"))
     hits = []
-    for rank, (keyword, labels) in enumerate(C.TACTICS):
+    for rank, (keyword, _) in enumerate(C.TACTICS):
         match = F.contains(F.lower("process"), F.lit(keyword)) | (F.col("event_type") == keyword)
-        for place, label in enumerate(labels):
-            hits.append(F.when(match, F.struct(F.lit(rank).alias("k"), F.lit(place).alias("p"), F.lit(label).alias("tactic"))))
+        hits.append(F.when(match, F.lit(rank)))
+    return merge_hits(seen.select("src", "dst", F.explode(F.array_compact(F.array(*hits))).alias("k"), "ts"))
+
+
+def merge_hits(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("src", "dst", "k").agg(F.min("ts").alias("ts"))
+
+
+def event_tactics(hits: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Tactic labels seen on events of flagged edges, with a rank by first appearance. ``hits``: of `keyword_hits`."""
+    labels = F.array(*[
+        F.array(*[F.struct(F.lit(place).alias("p"), F.lit(label).alias("tactic")) for place, label in enumerate(own)]) for _, own in C.TACTICS
+    ])
     return (
-        seen.join(flagged.select("src", "dst"), ["src", "dst"], "left_semi")
-        .select("ts", F.explode(F.array_compact(F.array(*hits))).alias("h"))
+        hits.join(flagged.select("src", "dst"), ["src", "dst"], "left_semi")
+        .select("ts", "k", F.explode(F.get(labels, F.col("k"))).alias("h"))
         .groupBy(F.col("h.tactic").alias("tactic"))
-        .agg(F.min(F.struct("ts", "h.k", "h.p")).alias("first_seen"))
+        .agg(F.min(F.struct("ts", "k", "h.p")).alias("first_seen"))
     )
 
 
 def tactics(tel: DataFrame, flagged: DataFrame) -> DataFrame:
     """One row: labels in order of first appearance (a closed list of 16), or the default pair."""
+    return listed_tactics(keyword_hits(tel), flagged)
+
+
+def listed_tactics(hits: DataFrame, flagged: DataFrame) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("first_seen", "tactic")))
     names = F.transform(listed, lambda x: x.tactic)
     default = F.array(*[F.lit(t) for t in C.DEFAULT_TACTICS])
-    return event_tactics(tel, flagged).agg(F.when(F.size(names) > 0, names).otherwise(default).alias("tactics"))
+    return event_tactics(hits, flagged).agg(F.when(F.size(names) > 0, names).otherwise(default).alias("tactics"))
 
 
 def alert_nodes(scores: DataFrame) -> DataFrame:
@@ -48,10 +63,13 @@ def alert_nodes(scores: DataFrame) -> DataFrame:
 
 
 def build_alert(
-    scores: DataFrame, paths: DataFrame, actions: DataFrame, rules: DataFrame, tel: DataFrame,
-    as_of: Column,
+    scores: DataFrame, paths: DataFrame, actions: DataFrame, rules: DataFrame, tel: DataFrame | None,
+    as_of: Column, hits: DataFrame | None = None,
 ) -> DataFrame:
-    """One alert for one detection pass. Node lists stay in `alert_nodes`; arrays here are top-k."""
+    """One alert for one detection pass. Node lists stay in `alert_nodes`; arrays here are top-k.
+
+    ``hits``: stored output of `keyword_hits`, in place of the telemetry.
+    """
     hit = flagged_edges(scores)
     top_scores = (
         ranked(hit).limit(20)
@@ -80,7 +98,7 @@ def build_alert(
             "anomaly_scores": top_scores.scalar(),
             "attack_paths": top.scalar(),
             "containment": contained.scalar(),
-            "mitre_tactics": tactics(tel, hit).scalar(),
+            "mitre_tactics": listed_tactics(keyword_hits(tel) if hits is None else hits, hit).scalar(),
         })
         .withColumn("severity", X.severity(F.col("max_risk_score")))
         .withColumn("best", F.try_element_at("attack_paths", F.lit(1)))

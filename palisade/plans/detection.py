@@ -4,11 +4,14 @@ Every result is a stored table under ``state``, one part per pass, so passes can
 by dashboards, and resumed after a failure. A pass reads the baselines of the pass before it.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.config import DEFAULT, Settings
-from palisade.operators import contain, detect, drift, embed, features, graph, paths, soc
+from palisade.operators import contain, detect, drift, embed, features, graph, panes, paths, soc
+from palisade.state import Merged, delete
 from palisade.storage import exists, materialize
 
 
@@ -39,15 +42,105 @@ def run_pass(
 ) -> None:
     """Detection over all telemetry up to ``as_of``. ``layers``: model weights, seeded if absent.
 
-    Writes edges, nodes, rules, degree_baseline, embedding_baseline, scores, score_history,
+    Writes edges, nodes, rules, degree_baseline, embedding_baseline, scores, score_history, drift_checks,
     compromised, paths, actions, firewall_rules, alerts and alert_nodes; the last six are empty if
     nothing was flagged, so that a pass that is run again leaves nothing of its earlier run.
     """
-    spark = tel.sparkSession
     seen = tel.where(F.col("ts") <= as_of)
     windows = materialize(graph.pair_windows(seen, cfg), "windows")
     folded = materialize(graph.fold_edges(seen), "edges")
     nodes = _save(graph.merge_nodes(seen), state, "nodes", pass_no)
+    activity = graph.node_windows(seen, cfg)
+    _conclude(folded, nodes, windows, activity, soc.keyword_hits(seen), as_of, state, pass_no, layers, cfg)
+
+
+def run_increment(
+    new: DataFrame, state: str, pass_no: int, layers: list[embed.Layer] | None = None, cfg: Settings = DEFAULT,
+    as_of: Column | None = None,
+) -> None:
+    """The pass of `run_pass`, from the rows that arrived since the pass before and the state that passes keep.
+
+    Numbers rise from pass to pass; a pass that is run again replaces its own work. Rows are folded once and merged into
+    ``state``/merged (edges, nodes, time cells, tactics); window statistics are taken anew only for the pairs and nodes
+    that the new rows touch, from their cells and from the rows of the minutes that a window's beginning cuts. Earlier
+    telemetry is not needed for anything else. ``as_of``: the newest row of all passes if absent; later rows are the
+    caller's to hold back.
+    """
+    spark = new.sparkSession
+    new = materialize(new, "increment")
+    _save(new.agg(F.max("ts").alias("newest")), state, "marks", pass_no)
+    moment = read_passes(spark, state, "marks").where(F.col("pass_no") <= pass_no).agg(F.max("newest")).first()[0]
+    if moment is None:
+        return
+    as_of = F.lit(moment) if as_of is None else as_of
+    rows = graph.pair_rows(new).withColumn("day", F.to_date(F.timestamp_micros("at")))
+    rows.drop("event_id").write.mode("overwrite").partitionBy("day").parquet(f"{state}/log/pass_no={pass_no}")
+
+    tables = merged_tables(spark, state)
+    parts = {
+        "edges": graph.fold_edges(new), "nodes": graph.merge_nodes(new), "hits": soc.keyword_hits(new),
+        "pair_cells": panes.cells(rows, PAIR), "node_cells": panes.cells(graph.by_node(rows), NODE),
+    }
+    for name, part in parts.items():
+        tables[name].add(part, pass_no)
+    pairs = materialize(rows.select(*PAIR).distinct(), "touched-pairs")
+    ends = materialize(graph.by_node(rows).select(*NODE).distinct(), "touched-nodes")
+    windows = _windows(spark, state, pass_no, tables["pair_cells"], pairs, PAIR, lambda x: x, graph.pair_spans(cfg))
+    activity = _windows(spark, state, pass_no, tables["node_cells"], ends, NODE, graph.by_node, {"short": cfg.short_us}, True)
+    stamp = F.lit(pass_no).alias("written")
+    tables["windows"].add(windows.select("*", stamp), pass_no)
+    tables["activity"].add(graph.node_activity(activity).select("*", stamp), pass_no)
+
+    read = {name: materialize(table.read(), f"state-{name}") for name, table in tables.items() if not name.endswith("cells")}
+    nodes = _save(read["nodes"], state, "nodes", pass_no)
+    _conclude(
+        read["edges"], nodes, read["windows"].drop("written"), read["activity"].drop("written"), read["hits"], as_of, state, pass_no, layers, cfg
+    )
+
+
+PAIR, NODE = ["src", "dst"], ["node_id"]
+
+
+def merged_tables(spark: SparkSession, state: str) -> dict[str, Merged]:
+    """The tables that `run_increment` keeps."""
+    def newest(keys: list[str]):
+        def merge(parts: DataFrame) -> DataFrame:
+            rest = [c for c in parts.columns if c not in keys]
+            return parts.groupBy(*keys).agg(F.max_by(F.struct(*rest), "written").alias("w")).select(*keys, "w.*").select(parts.columns)
+
+        return merge
+
+    table = lambda name, keys, merge: Merged(spark, f"{state}/merged/{name}", keys, merge)
+    return {
+        "edges": table("edges", PAIR, graph.merge_edges),
+        "nodes": table("nodes", NODE, graph.merge_node_parts),
+        "hits": table("hits", PAIR, soc.merge_hits),
+        "pair_cells": table("pair_cells", PAIR, lambda parts: panes.merge(parts, PAIR)),
+        "node_cells": table("node_cells", NODE, lambda parts: panes.merge(parts, NODE)),
+        "windows": table("windows", PAIR, newest(PAIR)),
+        "activity": table("activity", NODE, newest(NODE)),
+    }
+
+
+def _windows(
+    spark: SparkSession, state: str, pass_no: int, cells: Merged, touched: DataFrame, keys: list[str],
+    shape: Callable[[DataFrame], DataFrame], spans: dict[str, int], deviation: bool = False,
+) -> DataFrame:
+    """Window statistics of touched keys. Of the log, the days are read in which a window of theirs begins."""
+    kept = materialize(cells.read(touched), "touched-cells")
+    cut = panes.cut_minutes(kept.groupBy(*keys).agg(F.max("last").alias("last_at")), keys, spans)
+    days = [r[0] for r in cut.select(F.to_date(F.timestamp_micros("start"))).distinct().collect()]  # a row per day
+    log = spark.read.option("basePath", f"{state}/log").schema("src string, dst string, at bigint, value bigint, pass_no int, day date").parquet(f"{state}/log")
+    rows = log.where(F.col("day").isin(days) & (F.col("pass_no") <= pass_no))
+    return materialize(panes.from_cells(kept, shape(rows), keys, spans, deviation), "touched-windows")
+
+
+def _conclude(
+    folded: DataFrame, nodes: DataFrame, windows: DataFrame, activity: DataFrame, hits: DataFrame, as_of: Column, state: str, pass_no: int,
+    layers: list[embed.Layer] | None, cfg: Settings,
+) -> None:
+    """All of a pass that follows from folded telemetry: weights, scores, drift, paths, containment and the alert."""
+    spark = folded.sparkSession
     edges = _save(graph.weigh_edges(folded, windows, nodes, cfg), state, "edges", pass_no)
 
     degrees = _before(spark, state, "degree_baseline", pass_no)
@@ -55,7 +148,7 @@ def run_pass(
     moved = detect.degree_pass(rules, degrees, cfg).where("baseline is not null")
     _save(moved.select("src", "baseline"), state, "degree_baseline", pass_no)
 
-    vectors = materialize(features.assemble(nodes, edges, graph.node_windows(seen, cfg), as_of, cfg), "features")
+    vectors = materialize(features.assemble(nodes, edges, activity, as_of, cfg), "features")
     embedded = materialize(
         embed.embed(vectors, edges, layers or embed.seeded_layers(cfg), cfg=cfg), "embeddings"
     )
@@ -69,19 +162,89 @@ def run_pass(
         F.array("d_g").alias("structural"),
     )
     _save(history, state, "score_history", pass_no)
+    _check_drift_once_due(spark, as_of, state, pass_no, cfg)
     live = materialize(graph.prune_edges(edges, as_of, cfg), "live")
     compromised = _save(detect.compromised_nodes(scores, cfg), state, "compromised", pass_no)
     found = _save(paths.attack_paths(live, compromised, nodes, cfg), state, "paths", pass_no)
     actions = _save(contain.containment_actions(found, live, as_of, cfg), state, "actions", pass_no)
     blocks = _save(contain.firewall_rules(found, compromised, actions, cfg), state, "firewall_rules", pass_no)
-    alert = soc.build_alert(scores, found, actions, blocks, seen, as_of).where(F.lit(not detect.flagged_edges(scores).isEmpty()))
-    alert = _save(alert, state, "alerts", pass_no)
+    flagged = F.lit(not detect.flagged_edges(scores).isEmpty())
+    alert = _save(soc.build_alert(scores, found, actions, blocks, None, as_of, hits).where(flagged), state, "alerts", pass_no)
     _save(
         soc.alert_nodes(scores).withColumn("alert_id", alert.select("alert_id").scalar()),
         state, "alert_nodes", pass_no,
     )
 
 
+# -- drift, and what people decide ------------------------------------------------------------------
+
+
+def _check_drift_once_due(spark: SparkSession, as_of: Column, state: str, pass_no: int, cfg: Settings) -> None:
+    """The pass's drift check over the scores of all passes so far, empty until one interval after the check before it.
+
+    A check that was due but had too few rows leaves no trace, so the next pass tries again. History that the rolling
+    window no longer reaches is deleted, a whole pass at a time.
+    """
+    history = read_passes(spark, state, "score_history").where(F.col("pass_no") <= pass_no)
+    last = None
+    checks = read_passes(spark, state, "drift_checks")
+    if checks is not None:
+        last = checks.where(F.col("pass_no") < pass_no).agg(F.max("detected_at")).first()[0]
+    gate = None if last is None else F.lit(last)
+    _save(drift.drift_check(history.drop("pass_no"), as_of, cfg, gate), state, "drift_checks", pass_no)
+    reach = history.agg(F.max("ts")).scalar() - F.make_dt_interval(days=F.lit(cfg.drift_window_days))
+    ended = history.groupBy("pass_no").agg(F.max("ts").alias("ts")).where(F.col("ts") < reach)
+    for row in ended.collect():  # a row per stored pass
+        delete(spark, f"{state}/score_history/pass_no={row['pass_no']}")
+
+
+def _decide(spark: SparkSession, state: str, table: str, key: str, row: DataFrame) -> None:
+    row.coalesce(1).write.mode("overwrite").parquet(f"{state}/{table}/key={key}")
+
+
+def acknowledge(spark: SparkSession, state: str, alert_id: str) -> None:
+    """An analyst has seen the alert; doing so twice changes nothing."""
+    _decide(spark, state, "acknowledgements", alert_id, spark.range(1).select(F.lit(alert_id).alias("alert_id")))
+
+
+def roll_back(spark: SparkSession, state: str, action_id: str) -> None:
+    """The action's rules are no longer in force."""
+    _decide(spark, state, "rollbacks", action_id, spark.range(1).select(F.lit(action_id).alias("action_id")))
+
+
+def promote(spark: SparkSession, state: str, at: Column) -> None:
+    """The retrained model goes live: shadow mode ends."""
+    row = spark.range(1).select(at.alias("ts"))
+    _decide(spark, state, "promotions", str(row.select(F.unix_micros("ts")).first()[0]), row)
+
+
+def _decisions(spark: SparkSession, state: str, table: str, schema: str) -> DataFrame:
+    stored = read_passes(spark, state, table)
+    return spark.createDataFrame([], schema) if stored is None else stored.drop("key")
+
+
+def alerts(spark: SparkSession, state: str) -> DataFrame:
+    """Alerts of all passes with ``acknowledged``."""
+    return soc.acknowledge(read_passes(spark, state, "alerts"), _decisions(spark, state, "acknowledgements", "alert_id string"))
+
+
+def rules_in_force(spark: SparkSession, state: str, as_of: Column, cfg: Settings = DEFAULT) -> DataFrame:
+    """Rules of applied actions that have neither run out nor been rolled back."""
+    applied = contain.applied_rules(read_passes(spark, state, "firewall_rules"), read_passes(spark, state, "actions"), cfg)
+    return contain.rollback_rules(contain.active_rules(applied, as_of), _decisions(spark, state, "rollbacks", "action_id string"), cfg)
+
+
+def actions(spark: SparkSession, state: str) -> DataFrame:
+    """Actions of all passes with ``rollback_applied``."""
+    return contain.rollback_status(read_passes(spark, state, "actions"), _decisions(spark, state, "rollbacks", "action_id string"))
+
+
+def shadow(spark: SparkSession, state: str, as_of: Column, cfg: Settings = DEFAULT) -> DataFrame:
+    """Shadow mode as the stored checks and promotions have it."""
+    promotions = _decisions(spark, state, "promotions", "ts timestamp")
+    return drift.shadow_status(read_passes(spark, state, "drift_checks").drop("pass_no"), as_of, promotions, cfg)
+
+
 def check_drift(spark: SparkSession, state: str, as_of: Column, cfg: Settings = DEFAULT) -> DataFrame:
     """Drift of the three score components over the stored passes."""
     return drift.drift_check(read_passes(spark, state, "score_history").drop("pass_no"), as_of, cfg)
