@@ -524,6 +524,28 @@ SELECT *, greatest(gnn_score, rule_score) AS total_score, greatest(gnn_score, ru
     LEFT JOIN then_drift f ON f.node_id = e.src))"""
 
 
+# -- the detection stream: a pass after each slice, against the baselines of the passes before it
+_chain = [n for n in ["paths", *_needed("paths", {})] if n != "ev"]
+STEPS = ("sa_", "sb_", "sc_", "sd_")
+for _i, _s in enumerate(STEPS):
+    for _name in _chain:
+        CTES[_s + _name] = re.sub(r"\b(" + "|".join(_chain) + r")\b", _s + r"\1", CTES[_name])
+    CTES[f"{_s}latest"] = f"SELECT max(t) AS t FROM marks WHERE slice <= {_i}"
+    CTES[f"{_s}tel"] = f"SELECT * FROM tel WHERE ts <= (SELECT t FROM {_s}latest)"
+    CTES[f"{_s}rules"] = f"SELECT * FROM step_rules_{_i}"
+    _last = STEPS[_i - 1] if _i else None
+    CTES[f"{_s}base"] = f"SELECT n.node_id, n.i, coalesce(0.95 * o.b + 0.05 * n.x, n.x) AS b FROM {_s}so_3 n LEFT JOIN {_last}base o ON o.node_id = n.node_id AND o.i = n.i" \
+        if _i else f"SELECT node_id, i, x AS b FROM {_s}so_3"
+    CTES[f"{_s}drift"] = f"""
+SELECT node_id, CASE WHEN sum(e * e) = 0 OR sum(b * b) = 0 THEN 0
+  ELSE (1 - sum(e * b) / (sqrt(sum(e * e)) * sqrt(sum(b * b)))) / 2 END AS drift
+FROM (SELECT n.node_id, n.x AS e, m.b FROM {_s}so_3 n JOIN {_s}base m ON m.node_id = n.node_id AND m.i = n.i
+  JOIN {_last}base o ON o.node_id = n.node_id AND o.i = n.i) GROUP BY 1""" if _i else "SELECT NULL::VARCHAR AS node_id, 0.0::DOUBLE AS drift"
+    CTES[f"{_s}scores"] = re.sub(
+        r"\b(edges|nodes|gap|cosd|latest)\b", _s + r"\1", CTES["then_scores"].replace("then_rules", f"{_s}rules").replace("then_drift", f"{_s}drift")
+    )
+
+
 def _drift_replay(source: str) -> str:
     return f"""
 WITH RECURSIVE seq AS (
@@ -685,8 +707,19 @@ BODIES |= {
       SELECT *, (SELECT max(ts) FROM tel o WHERE least(3, (day(o.ts) - 1) // 8 + CASE WHEN o.port = 22 THEN 1 ELSE 0 END) < a) AS prior FROM (
         SELECT *, least(3, (day(ts) - 1) // 8 + CASE WHEN port = 22 THEN 1 ELSE 0 END) AS a FROM tel))""",
     "stream_detection": " UNION ALL ".join(
-        f"SELECT {i} AS batch_id, src, dst, round(rule_score, 6) AS rule_score, rule_triggered, (SELECT max(t) FROM marks WHERE slice <= {i}) AS as_of FROM step_rules_{i}"
-        for i in range(4)
+        f"SELECT {i} AS batch_id, src, dst, {_r('d_b', 'd_t', 'rule_score', 'total_score')}, rule_triggered, is_flagged, (SELECT t FROM {s}latest) AS as_of FROM {s}scores"
+        for i, s in enumerate(STEPS)
+    ),
+    "stream_alerts": " UNION ALL ".join(
+        f"SELECT sha256('alert|' || epoch_us(t)) AS alert_id, {_SEV.format('risk')} AS severity, t AS created_at, ends AS node_count, n AS total_flagged_edges, "
+        f"paths AS total_attack_paths, round(risk, 6) AS max_risk_score FROM (SELECT count(*) AS n FROM {s}flagged HAVING count(*) > 0), {s}latest, "
+        f"(SELECT count(DISTINCT x) AS ends FROM (SELECT unnest([src, dst]) AS x FROM {s}flagged)), "
+        f"(SELECT count(*) AS paths, coalesce(max(risk_score), 0)::DOUBLE AS risk FROM {s}paths)"
+        for s in STEPS
+    ),
+    # Renaming the tables of a slice has renamed the column of that name, too.
+    "stream_attack_paths": " UNION ALL ".join(
+        f"SELECT {i} AS batch_id, {_PATH.replace('(nodes', f'({s}nodes')} FROM {s}paths" for i, s in enumerate(STEPS)
     ),
 }
 
@@ -694,14 +727,10 @@ BODIES |= {
 _scored = f"src, dst, {_r('d_b', 'd_t', 'rule_score', 'total_score')}, round(d_g, 5) AS d_g, rule_triggered, is_flagged"
 BODIES["detection_passes"] = f"""SELECT CAST(0 AS INTEGER) AS pass_no, {_scored} FROM old_scores
       UNION ALL SELECT 1, {_scored} FROM then_scores"""
-BODIES["stream_alerts"] = " UNION ALL ".join(
-    f"SELECT sha256('alert|' || epoch_us(t)) AS alert_id, 'LOW' AS severity, t AS created_at, n AS total_flagged_edges, round(top, 6) AS max_score "
-    f"FROM (SELECT count(*) AS n, max(rule_score) AS top FROM step_rules_{i} WHERE rule_score > 0.7 HAVING count(*) > 0), "
-    f"(SELECT max(t) AS t FROM marks WHERE slice <= {i})"
-    for i in range(4)
-)
 for _name in ("edge_weights", "rule_scores", "pagerank", "attack_paths", "window_stats"):
     BODIES[f"{_name}_split"] = BODIES[_name]
+for _name in ("edge_temporal_features", "node_temporal_features", "temporal_deviation", "edge_weights", "edge_deviation"):
+    BODIES[f"{_name}_cells"] = BODIES[_name]
 BODIES["clustering_split"] = BODIES["clustering_coefficient"]
 BODIES["pagerank_bulk"] = "SELECT node_id, round(pagerank, 8) AS pagerank, converged FROM bulk_pr"
 BODIES["clustering_bulk"] = "SELECT node_id, triangles, round(clustering, 6) AS clustering FROM bulk_clust"

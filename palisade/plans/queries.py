@@ -792,28 +792,77 @@ def stream_late_events(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{folder}/out/rows").select("event_id", "batch_id", "late")
 
 
+def _detected(t: Tables) -> str:
+    """State of a detection stream over the four slices, run once for the queries that read it."""
+    if "detected" not in t.__dict__:
+        t.detected = _arrive(t, lambda s, f: jobs.detect_stream(s, f"{f}/state", f"{f}/ck", layers=embed.formula_layers()))
+    return t.detected
+
+
 @query
 def stream_detection(t: Tables) -> DataFrame:
-    folder = _arrive(t, lambda s, f: jobs.detect_stream(s, f"{f}/state", f"{f}/out", f"{f}/ck"))
-    return t.spark.read.parquet(f"{folder}/out").select(
-        "batch_id", "src", "dst", *_r("rule_score"), "rule_triggered", *_t("as_of")
+    """Scores of the pass after each micro-batch."""
+    return detection.read_passes(t.spark, f"{_detected(t)}/state", "scores").select(
+        F.col("pass_no").alias("batch_id"), "src", "dst", *_r("d_b", "d_t", "rule_score", "total_score"), "rule_triggered", "is_flagged", *_t("as_of")
     )
 
 
 @query
 def stream_alerts(t: Tables) -> DataFrame:
     """Alerts of the detection stream, sent on once per batch."""
-    folder = _arrive(t, lambda s, f: jobs.detect_stream(s, f"{f}/state", f"{f}/out", f"{f}/ck"))
+    folder, sent = _detected(t), new_path(t.spark, "sent")
 
     def publish(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/sent/batch_id={number}")
+        batch.write.mode("overwrite").parquet(f"{sent}/batch_id={number}")
 
-    jobs.drain(jobs.alert_stream(jobs.read_alerts(t.spark, f"{folder}/state"), publish, f"{folder}/alert-ck"))
-    return t.spark.read.parquet(f"{folder}/sent").select(
-        "alert_id", "severity", *_t("created_at"), "total_flagged_edges", *_r("max_score")
+    jobs.drain(jobs.alert_stream(jobs.read_alerts(t.spark, f"{folder}/state"), publish, f"{sent}-ck"))
+    return t.spark.read.parquet(sent).select(
+        "alert_id", "severity", *_t("created_at"), "node_count", "total_flagged_edges", "total_attack_paths", *_r("max_risk_score")
     )
 
 
+@query
+def stream_attack_paths(t: Tables) -> DataFrame:
+    """Paths that the passes of the detection stream found."""
+    return detection.read_passes(t.spark, f"{_detected(t)}/state", "paths").select(F.col("pass_no").alias("batch_id"), *_path_columns())
+
+
+# Trailing windows from the time cells that the passes keep.
+
+
+def _kept(t: Tables, name: str) -> DataFrame:
+    return materialize(detection.merged_tables(t.spark, f"{_detected(t)}/state")[name].read().drop("written"), f"kept-{name}")
+
+
+@query
+def edge_temporal_features_cells(t: Tables) -> DataFrame:
+    six = graph.temporal_features(_kept(t, "windows"))
+    return six.select("src", "dst", *_r(*six.columns[2:]))
+
+
+@query
+def node_temporal_features_cells(t: Tables) -> DataFrame:
+    stats = _kept(t, "activity")
+    return stats.select("node_id", "activity_count", *_r("activity_rate", "activity_mean", "activity_std"))
+
+
+@query
+def temporal_deviation_cells(t: Tables) -> DataFrame:
+    return graph.temporal_deviation(_kept(t, "windows")).select("src", "dst", *_r("deviation"))
+
+
+@query
+def edge_weights_cells(t: Tables) -> DataFrame:
+    weighted = graph.weigh_edges(_kept(t, "edges"), _kept(t, "windows"), _kept(t, "nodes"))
+    return weighted.select("src", "dst", *_r("frequency_score", "sensitivity_score", "deviation_score", "weight"))
+
+
+@query
+def edge_deviation_cells(t: Tables) -> DataFrame:
+    weighted = graph.weigh_edges(_kept(t, "edges"), _kept(t, "windows"), _kept(t, "nodes"))
+    return weighted.select("src", "dst", *_r("deviation_score"))
+
+
 @query
 def detection_passes(t: Tables) -> DataFrame:
     """Two full passes a week apart, the second against the baselines of the first."""

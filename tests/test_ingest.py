@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import DEFAULT
 from palisade.operators import graph, telemetry, windows
+from palisade.plans import detection
 from palisade.streaming import jobs
 
 AS_OF = "2030-01-01 00:00:00"
@@ -104,9 +105,10 @@ def test_a_stream_that_dies_before_its_commit_counts_once(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(tel.schema).parquet(f"{tmp_path}/in")
-        jobs.drain(jobs.detect_stream(stream, f"{tmp_path}/state", f"{tmp_path}/out", f"{tmp_path}/ck"))
-        edges = sorted(map(tuple, jobs.merged_edges(spark, f"{tmp_path}/state/edges").select("src", "dst", "event_count").collect()))
-        return edges, sorted(map(tuple, spark.read.parquet(f"{tmp_path}/state/alerts").collect()))
+        jobs.drain(jobs.detect_stream(stream, f"{tmp_path}/state", f"{tmp_path}/ck"))
+        kept = detection.merged_tables(spark, f"{tmp_path}/state")["edges"].read()
+        edges = sorted(map(tuple, kept.select("src", "dst", "event_count").collect()))
+        return edges, sorted(map(str, spark.read.parquet(f"{tmp_path}/state/alerts").collect()))
 
     before = run()
     commits = sorted(p for p in Path(tmp_path, "ck/commits").iterdir() if p.name.isdigit())
