@@ -9,10 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.config import DEFAULT, Settings
+from palisade.config import DAY_US, DEFAULT, Settings
 from palisade.operators import contain, detect, drift, embed, features, graph, panes, paths, soc
 from palisade.state import Merged, delete
-from palisade.storage import exists, materialize
+from palisade.storage import exists, materialize, together
 
 
 def _save(df: DataFrame, state: str, table: str, pass_no: int) -> DataFrame:
@@ -81,17 +81,22 @@ def run_increment(
         "edges": graph.fold_edges(new), "nodes": graph.merge_nodes(new), "hits": soc.keyword_hits(new),
         "pair_cells": panes.cells(rows, PAIR), "node_cells": panes.cells(graph.by_node(rows), NODE),
     }
-    for name, part in parts.items():
-        tables[name].add(part, pass_no)
-    pairs = materialize(rows.select(*PAIR).distinct(), "touched-pairs")
-    ends = materialize(graph.by_node(rows).select(*NODE).distinct(), "touched-nodes")
-    windows = _windows(spark, state, pass_no, tables["pair_cells"], pairs, PAIR, lambda x: x, graph.pair_spans(cfg))
-    activity = _windows(spark, state, pass_no, tables["node_cells"], ends, NODE, graph.by_node, {"short": cfg.short_us}, True)
+    together(*[lambda n=name, p=part: tables[n].add(p, pass_no) for name, part in parts.items()])
     stamp = F.lit(pass_no).alias("written")
-    tables["windows"].add(windows.select("*", stamp), pass_no)
-    tables["activity"].add(graph.node_activity(activity).select("*", stamp), pass_no)
 
-    read = {name: materialize(table.read(), f"state-{name}") for name, table in tables.items() if not name.endswith("cells")}
+    def pair_windows() -> None:
+        touched = materialize(rows.select(*PAIR).distinct(), "touched-pairs")
+        found = _windows(spark, state, pass_no, tables["pair_cells"], touched, PAIR, lambda x: x, graph.pair_spans(cfg))
+        tables["windows"].add(found.select("*", stamp), pass_no)
+
+    def node_windows() -> None:
+        touched = materialize(graph.by_node(rows).select(*NODE).distinct(), "touched-nodes")
+        found = _windows(spark, state, pass_no, tables["node_cells"], touched, NODE, graph.by_node, {"short": cfg.short_us}, True)
+        tables["activity"].add(graph.node_activity(found).select("*", stamp), pass_no)
+
+    together(pair_windows, node_windows)
+    names = [name for name in tables if not name.endswith("cells")]
+    read = dict(zip(names, together(*[lambda n=name: materialize(tables[n].read(), f"state-{n}") for name in names])))
     nodes = _save(read["nodes"], state, "nodes", pass_no)
     _conclude(
         read["edges"], nodes, read["windows"].drop("written"), read["activity"].drop("written"), read["hits"], as_of, state, pass_no, layers, cfg
@@ -180,18 +185,23 @@ def _conclude(
 
 
 def _check_drift_once_due(spark: SparkSession, as_of: Column, state: str, pass_no: int, cfg: Settings) -> None:
-    """The pass's drift check over the scores of all passes so far, empty until one interval after the check before it.
+    """The pass's drift check over the scores of all passes so far; nothing is read until one interval after the last one.
 
-    A check that was due but had too few rows leaves no trace, so the next pass tries again. History that the rolling
-    window no longer reaches is deleted, a whole pass at a time.
+    A check that was due but had too few rows leaves no trace, so the next pass tries again. With a check, history that
+    the rolling window no longer reaches is deleted, a whole pass at a time.
     """
-    history = read_passes(spark, state, "score_history").where(F.col("pass_no") <= pass_no)
     last = None
     checks = read_passes(spark, state, "drift_checks")
     if checks is not None:
-        last = checks.where(F.col("pass_no") < pass_no).agg(F.max("detected_at")).first()[0]
-    gate = None if last is None else F.lit(last)
-    _save(drift.drift_check(history.drop("pass_no"), as_of, cfg, gate), state, "drift_checks", pass_no)
+        last = checks.where(F.col("pass_no") < pass_no).agg(F.max(F.unix_micros("detected_at"))).first()[0]
+    if last is not None:
+        now = spark.range(1).select(F.unix_micros(as_of)).first()[0]
+        if (now - last) // DAY_US < cfg.drift_check_days:
+            return
+    history = read_passes(spark, state, "score_history").where(F.col("pass_no") <= pass_no)
+    found = _save(drift.drift_check(history.drop("pass_no"), as_of, cfg), state, "drift_checks", pass_no)
+    if found.isEmpty():
+        return
     reach = history.agg(F.max("ts")).scalar() - F.make_dt_interval(days=F.lit(cfg.drift_window_days))
     ended = history.groupBy("pass_no").agg(F.max("ts").alias("ts")).where(F.col("ts") < reach)
     for row in ended.collect():  # a row per stored pass

@@ -149,6 +149,7 @@ def test_drift_checks_of_passes_are_gated_and_start_shadow_mode(spark):
         detection._check_drift_once_due(spark, day(at), state, n, detection.DEFAULT)
     checks = detection.read_passes(spark, state, "drift_checks")
     assert {r.pass_no for r in checks.collect()} <= {0, 2} and checks.where("pass_no = 0").count() == 3
+    assert "pass_no=1" not in S.listed(spark, f"{state}/drift_checks") and "pass_no=2" in S.listed(spark, f"{state}/drift_checks")
     assert detection.shadow(spark, state, day(1)).first().in_shadow_mode
     detection.promote(spark, state, day(20))
     assert not detection.shadow(spark, state, day(21)).first().in_shadow_mode
