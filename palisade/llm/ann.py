@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample (``SAMPLE`` distinct vectors, chosen by a hash of the id) the graph of nearest neighbours is cut into
+On a bounded sample (``SAMPLE`` distinct vectors, chosen by their hash) the graph of nearest neighbours is cut into
 balanced parts by repeated bisection. A small neural network then learns to tell from a vector in which parts its
 neighbours lie. It puts every row into its most probable part, and sends a query to its several most probable parts,
 where inner products with all rows are taken on the original vectors. How many parts a query visits is set on the
@@ -11,8 +11,9 @@ Parts are searched as blocks: a slice of the rows of a part against a block of i
 part in which one vector is repeated a million times is only more slices.
 
 Cases: vectors that are null, zero, or hold a null or non-finite number take no part, nor do those without an id or of
-another length than most; rows of one id and one vector count once; a query meets every candidate if there are fewer
-than ``k`` in its parts; equal scores go to the smaller id; a table without vectors gives no rows.
+another length than most; rows of one id and one vector count once; of one id, each different vector is a candidate of
+its own, the least one (component by component) asks, and none of them is found by it; a query meets every candidate if
+there are fewer than ``k`` in its parts; equal scores go to the smaller id; a table without vectors gives no rows.
 """
 
 from typing import NamedTuple
@@ -51,6 +52,16 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def distinct_rows(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Numbers of rows, one of each id and vector, by id."""
+    order = np.argsort(ids, kind="stable")
+    if not np.any(ids[order][1:] == ids[order][:-1]):
+        return order
+    rows = np.concatenate([ids[:, None].view(np.uint8), np.ascontiguousarray(x + 0.0).view(np.uint8)], axis=1)  # 0.0: one zero
+    first = np.unique(rows, axis=0, return_index=True)[1]
+    return first[np.argsort(ids[first], kind="stable")]
+
+
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     """Numbers of the ``k`` rows of largest inner product with each row, itself left out."""
     out = np.empty((len(x), min(k, len(x) - 1)), np.int64)
@@ -149,7 +160,7 @@ def train_router(x: np.ndarray, target: np.ndarray, epochs: int = 40, rate: floa
 
 def fit(vectors: DataFrame, rows: int = SAMPLE, parts: int = PARTS, recall: float = RECALL, k: int = K) -> Router | None:
     """A router with the fewest probes that reach ``recall`` on the sample."""
-    found = sample(vectors, rows, F.col("vec_id")).select("vector").toArrow()
+    found = sample(vectors, rows, F.col("vector")).select("vector").toArrow()
     x = np.unique(matrix(found["vector"]), axis=0) if found.num_rows else np.zeros((0, 0))
     if not len(x):
         return None
@@ -179,6 +190,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, router: Router | No
 
     def route(batches: Batches) -> Batches:
         for batch in batches:
+            # Copies that meet in a batch go no further, so a row in countless copies does not fill its slice.
+            batch = batch.take(pa.array(np.sort(distinct_rows(batch.column("vec_id").to_numpy(), matrix(batch.column("vector"))))))
             order = np.argsort(-shared.value.log_probabilities(matrix(batch.column("vector"))), axis=1, kind="stable").astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 *batch.columns, pa.array(order[:, 0]),
@@ -204,9 +217,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, router: Router | No
             (acc["rows"] + F.get(F.array(*[F.lit(n).cast("long") for n in sizes]), p)).alias("rows"),
         )),
     )["parts"]
-    asked = routed.where("asks").select("vec_id", "vector", F.explode(filled).alias("part"))
+    asking = routed.where("asks").groupBy("vec_id").agg(F.min(F.struct("vector", "order")).alias("q")).select("vec_id", "q.*")
+    asking = store(asking.select("vec_id", "vector", filled.alias("parts")), "ann-asking")
+    asked = asking.select("vec_id", "vector", F.explode("parts").alias("part"))
     asked_sizes = [0] * parts
-    for r in routed.where("asks").select(F.explode(filled).alias("part")).groupBy("part").count().collect():
+    for r in asked.groupBy("part").count().collect():
         asked_sizes[r["part"]] = r["count"]
     blocks = F.array(*[F.lit(max(1, -(-n // QUERIES))) for n in asked_sizes])
     spot = lambda sizes, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.get(sizes, F.col("part"))).cast("int")
@@ -217,10 +232,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, router: Router | No
     def search(asking: pa.Table, rows: pa.Table) -> pa.Table:
         out = [], [], []
         if asking.num_rows and rows.num_rows:
-            ids, first = np.unique(rows["vec_id"].to_numpy(), return_index=True)
-            x = matrix(rows["vector"])[first]
-            query_ids, first = np.unique(asking["vec_id"].to_numpy(), return_index=True)
-            q = matrix(asking["vector"])[first]
+            ids, x = rows["vec_id"].to_numpy(), matrix(rows["vector"])
+            own = distinct_rows(ids, x)
+            ids, x = ids[own], x[own]
+            query_ids, q = asking["vec_id"].to_numpy(), matrix(asking["vector"])
             for at in range(0, len(q), 256):
                 rough = q[at : at + 256] @ x.T
                 for i, scores in enumerate(rough):

@@ -4,7 +4,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.shipping import ship
@@ -49,12 +49,24 @@ def row_ids() -> Iterator[int]:
         at += 1
 
 
-def sample(df: DataFrame, rows: int, by: Column) -> DataFrame:
-    """About ``rows`` rows, chosen by a hash of ``by``: the same ones in every run. All if there are fewer."""
-    n = df.count()
-    if n <= rows:
-        return df
-    return df.where(F.pmod(F.xxhash64(by), F.lit(1 << 20)) < int(rows / n * (1 << 20)) + 1)
+def sample(df: DataFrame, rows: int, by: Column, label: str | None = None) -> DataFrame:
+    """At most ``rows`` rows (of each non-null value of ``label``, whose values must be few), one for each value of ``by``.
+
+    Those of smallest hash are taken, so the sample is the same in every run; rows equal in ``by`` count once, however
+    many there are.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(by))
+    if label is None:
+        low = hashed.select("_hash").distinct().orderBy("_hash").limit(rows).agg(F.max("_hash")).first()[0]
+        edge = F.lit(low)
+    else:
+        order = Window.partitionBy(label).orderBy("_hash")
+        ranked = hashed.select(label, "_hash").distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows)
+        edge = F.lit(None).cast("long")
+        for r in ranked.groupBy(label).agg(F.max("_hash").alias("low")).collect():
+            edge = F.when(F.col(label) == r[label], r["low"]).otherwise(edge)
+    keys = ["_hash"] if label is None else [label, "_hash"]
+    return hashed.where(F.col("_hash") <= edge).dropDuplicates(keys).select(df.columns)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

@@ -183,7 +183,7 @@ def train(docs: DataFrame, rows: int = SAMPLE) -> tuple[LabelModel, Scorer] | No
     model = label_model(docs)
     if model is None:
         return None
-    chosen = sample(documents(docs), rows, F.struct("doc_id", "text"))
+    chosen = sample(documents(docs), rows, F.col("text"))
 
     def run(batches: Batches) -> Batches:
         for batch in batches:

@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from palisade.llm import ann
+from palisade.llm.frames import sample
 from tests.llm.conftest import SF
 
 
@@ -67,3 +69,28 @@ def test_bisection_is_balanced_and_cuts_few_edges():
     order = np.random.default_rng(1).permutation(100)
     side = ann.bisect(graph[np.ix_(order, order)])
     assert side.sum() == 50 and len(set((order[side] < 50).tolist())) == 1
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_vectors_of_one_id_are_all_candidates(spark, turn):
+    """In any order of rows: each different vector of an id is found, its own id never, the least vector asks."""
+    rows = [(0, [1.0, 0.0]), (1, [0.1, 0.0]), (1, [0.9, 0.0]), (2, [0.5, 0.0]), (1, [0.9, 0.0]), (2, [0.5, -0.0])][::turn]
+    vectors = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = ann.nearest(vectors, F.col("vec_id").isin(0, 1), k=5).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in found] == [
+        (0, 1, 1, 0.9), (0, 2, 2, 0.5), (0, 3, 1, 0.1), (1, 1, 0, 0.1), (1, 2, 2, 0.05),
+    ]
+
+
+def test_samples_are_bounded(spark):
+    """Copies, one id for all rows, and null ids."""
+    equal = spark.range(100_000).select(F.lit(7).alias("doc_id"), F.lit("the same text").alias("text"), F.lit("en").alias("lang"))
+    some = spark.range(5000).select(
+        F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.when(F.col("id") % 3 == 0, "en").otherwise("fr").alias("lang")
+    )
+    both = equal.unionByName(some)
+    assert sample(both, 800, F.col("text")).count() == 800
+    assert sample(equal, 800, F.col("text")).count() == 1
+    by_label = {r["lang"]: r["count"] for r in sample(both, 300, F.col("text"), "lang").groupBy("lang").count().collect()}
+    assert by_label == {"en": 300, "fr": 300}
+    assert sorted(map(tuple, sample(both, 9, F.col("text")).collect()), key=str) == sorted(map(tuple, sample(both.repartition(3), 9, F.col("text")).collect()), key=str)
