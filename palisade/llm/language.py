@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.chargrams import grams
-from palisade.llm.frames import Batches, documents, held_out, map_batches, table
+from palisade.llm.frames import Batches, documents, held_out, map_batches, sample, table
 
 SIZES = (1, 2, 3)
 BITS = 15
@@ -75,28 +75,25 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def sample_bags(docs: DataFrame, label: str, shares: dict, run_bags) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(label, columns, counts) of a sample: a row is taken if the hash of its id falls into the share of its label."""
-    share = F.lit(0.0)
-    for value, part in shares.items():
-        share = F.when(F.col(label) == value, part).otherwise(share)
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-
+def sample_bags(chosen: DataFrame, label: str, run_bags) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(label, columns, counts) of the rows of a bounded sample."""
     def run(batches: Batches) -> Batches:
         for batch in batches:
             rows = [
-                {"label": y, "columns": c.astype(np.int32).tobytes(), "counts": n.astype(np.int32).tobytes()}
+                {"label": y, "columns": c.astype(np.int32).tobytes(), "counts": np.minimum(n, MOST).astype(np.uint16).tobytes()}
                 for y, (c, n, *_) in zip(batch.column(label).to_pylist(), run_bags(batch.column("text").to_pylist()))
             ]
             yield from pa.Table.from_pylist(rows, schema=_BAG).combine_chunks().to_batches()
 
     found = map_batches(chosen.select("text", F.col(label).cast("string").alias(label)), run, "label string, columns binary, counts binary").toArrow()
-    numbers = lambda x: np.frombuffer(x.as_buffer(), np.int32)  # noqa: E731  a view of the table's memory
-    rows = [(y.as_py(), numbers(c), numbers(n)) for y, c, n in zip(found["label"], found["columns"], found["counts"])]
+    view = lambda x, kind: np.frombuffer(x.as_buffer(), kind)  # noqa: E731  the table's own memory
+    rows = [(y.as_py(), view(c, np.int32), view(n, np.uint16)) for y, c, n in zip(found["label"], found["columns"], found["counts"])]
     # The order in which rows arrive must not matter.
     return sorted(rows, key=lambda r: (zlib.crc32(r[1]), zlib.crc32(r[2]), r[0]))
 
 
+#: Counts of the sample travel in 16 bits; higher ones count as this.
+MOST = 65_535
 _BAG = pa.schema([("label", pa.string()), ("columns", pa.binary()), ("counts", pa.binary())])
 
 
@@ -148,7 +145,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
         return None
     languages = sorted(counts)
     idf = np.log((1 + sum(counts.values())) / (1 + document_frequencies(labelled))) + 1
-    rows = sample_bags(labelled, "lang", {k: per_language / n for k, n in counts.items()}, bags)
+    rows = sample_bags(sample(labelled, per_language, F.col("text"), "lang"), "lang", bags)
     order = np.random.default_rng(1).permutation(len(rows))
     kept_back = order[::5] if len(rows) >= 50 else order[:0]
     learned = np.setdiff1d(order, kept_back)

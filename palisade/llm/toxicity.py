@@ -5,8 +5,8 @@ classes. As vectors belong to n-grams and not to words, a misspelling that was n
 with the word it comes from. N-grams weigh by the root of their count, so that a word repeated a thousand times does
 not outweigh the rest of its text.
 
-Vectors are learned on a bounded sample of the labelled rows (``TOXIC`` and ``CLEAN`` rows, chosen by a hash of the
-id); n-grams that fewer than ``LEAST`` of its texts have are left out. As the mean and the layer above are linear, a text is scored
+Vectors are learned on a bounded sample of the labelled rows (at most ``TOXIC`` and ``CLEAN`` ids, those of smallest
+hash); n-grams that fewer than ``LEAST`` of its texts have are left out. As the mean and the layer above are linear, a text is scored
 with one number per n-gram.
 
 Cases: null and empty texts have an empty bag and get the score of the intercept; labels that are null, doubled or
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.chargrams import grams
-from palisade.llm.frames import Batches, documents, held_out, map_batches, table
+from palisade.llm.frames import Batches, documents, held_out, map_batches, store, table
 from palisade.llm.language import sample_bags
 
 SIZES = (3, 4, 5)
@@ -49,18 +49,16 @@ class Model:
         seen = np.zeros(1 << BITS, np.int64)
         for columns, _ in bags:
             seen[columns] += 1
-        self.kept = seen >= min(LEAST, max(1, len(bags) // 10))
+        self.kept = seen >= LEAST
         self.vectors = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << BITS, DIMENSIONS))
         self.layer = random.normal(0, 0.1, (DIMENSIONS, 2))
         self.bias = np.zeros(2)
-        examples = []
-        for columns, counts in bags:
-            columns, counts = columns[self.kept[columns]], counts[self.kept[columns]]
-            examples.append((columns, weights_of(counts)))
-        total, done = EPOCHS * len(examples), 0
+        total, done = EPOCHS * len(bags), 0
         for _ in range(EPOCHS):
-            for i in random.permutation(len(examples)):
-                self._learn(*examples[i], labels[i], RATE * (1 - done / total))
+            for i in random.permutation(len(bags)):
+                columns, counts = bags[i]  # views of what the tasks sent: nothing is copied for all texts at once
+                some = self.kept[columns]
+                self._learn(columns[some], weights_of(counts[some]), labels[i], RATE * (1 - done / total))
                 done += 1
         ones = int(labels.sum())
         if odds and 0 < ones < len(labels):
@@ -87,8 +85,9 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Model | None:
     """A model from the labelled rows of ``docs``; None without labels.
 
-    The ids of the sample are chosen before texts are touched: at most ``toxic + clean`` ids (and the few that
-    share a hash bucket) meet the documents in a broadcast join, so no text is shuffled.
+    The ids of the sample are chosen before texts are touched: exactly the ``toxic`` and ``clean`` ids of smallest hash
+    meet the documents in a broadcast join, so no other text is shuffled. An id of several texts is there with the first
+    of them in order.
     """
     known = (
         labels.where("toxic is not null and doc_id is not null").groupBy("doc_id")
@@ -97,11 +96,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    shares = {str(k): (toxic if k else clean) / n for k, n in counts.items()}
-    share = F.when(F.col("toxic") == 1, shares.get("1", 0.0)).otherwise(shares.get("0", 0.0))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    first = lambda value, n: known.where(F.col("toxic") == value).orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(n)
+    chosen = store(first(1, toxic).unionByName(first(0, clean)), "toxicity-sample")
     joined = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = sample_bags(joined.withColumn("toxic", F.col("toxic").cast("string")), "toxic", {"0": 1.0, "1": 1.0}, bags)
+    once = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("string").alias("toxic"))
+    rows = sample_bags(once, "toxic", bags)
     if not rows:
         return None
     odds = counts.get(1, 0) / counts[0] if counts.get(0) else None
