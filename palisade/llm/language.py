@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.chargrams import grams
-from palisade.llm.frames import Batches, documents, held_out, map_batches, sample, table
+from palisade.llm.frames import Batches, documents, held_out, map_batches, sample, store, table
 
 SIZES = (1, 2, 3)
 BITS = 15
@@ -75,8 +75,8 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def sample_bags(chosen: DataFrame, label: str, run_bags) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(label, columns, counts) of the rows of a bounded sample."""
+def sample_bags(chosen: DataFrame, label: str, run_bags, pieces: int = 1) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(label, columns, counts) of the rows of a bounded sample, fetched in so many pieces, one after the other."""
     def run(batches: Batches) -> Batches:
         for batch in batches:
             rows = [
@@ -85,7 +85,13 @@ def sample_bags(chosen: DataFrame, label: str, run_bags) -> list[tuple[str, np.n
             ]
             yield from pa.Table.from_pylist(rows, schema=_BAG).combine_chunks().to_batches()
 
-    found = map_batches(chosen.select("text", F.col(label).cast("string").alias(label)), run, "label string, columns binary, counts binary").toArrow()
+    found = map_batches(chosen.select("text", F.col(label).cast("string").alias(label)), run, "label string, columns binary, counts binary")
+    if pieces > 1:
+        found = store(found, "bags")
+        piece = F.pmod(F.crc32("columns"), F.lit(pieces))
+        found = pa.concat_tables([found.where(piece == i).toArrow() for i in range(pieces)])
+    else:
+        found = found.toArrow()
     view = lambda x, kind: np.frombuffer(x.as_buffer(), kind)  # noqa: E731  the table's own memory
     rows = [(y.as_py(), view(c, np.int32), view(n, np.uint16)) for y, c, n in zip(found["label"], found["columns"], found["counts"])]
     # The order in which rows arrive must not matter.

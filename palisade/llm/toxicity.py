@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     chosen = store(first(1, toxic).unionByName(first(0, clean)), "toxicity-sample")
     joined = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     once = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("string").alias("toxic"))
-    rows = sample_bags(once, "toxic", bags)
+    rows = sample_bags(once, "toxic", bags, pieces=8)
     if not rows:
         return None
     odds = counts.get(1, 0) / counts[0] if counts.get(0) else None
