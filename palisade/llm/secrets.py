@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership.
 
 Three patterns find candidates in every whole text. The hash of each candidate's value is then aggregated over the
-corpus by the distinct repositories and owners that hold it: a value that many owners have is a copied example, one
-that a single owner has and that looks random is a live credential. Values that are known from a key word somewhere
+corpus by the distinct repositories and owners that hold it in different texts (copies of a text count once, for the
+first owner that has it): a value that several owners have, none of them nearly alone, is a copied example; another one
+that looks random is a live credential. Values that are known from a key word somewhere
 are also found where they stand bare ("reuse" spans).
 
 Cases: null and empty texts have no spans; repeated rows each get a row, and count once in ownership; a null repository
@@ -34,6 +35,8 @@ BARE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.
 POSSIBLE = r"(?i)[0-9]|password|passwd|secret|token|api_?key|akia|[a-f]{16}"
 #: A value that so many owners have is an example.
 COPIED_OWNERS = 3
+#: Unless one owner has more than this share of its repositories.
+MAIN_SHARE = 0.9
 #: Bits per character from which a value looks random.
 LIVE_BITS = 2.5
 
@@ -123,25 +126,29 @@ def candidates(scanned: DataFrame) -> DataFrame:
     ).select("row", "text_key", "repository", "owner", "c.*")
 
 
-def ownership(found: DataFrame, copied_owners: int = COPIED_OWNERS, live_bits: float = LIVE_BITS) -> DataFrame:
+def ownership(found: DataFrame, copied_owners: int = COPIED_OWNERS, main_share: float = MAIN_SHARE, live_bits: float = LIVE_BITS) -> DataFrame:
     """One row per value: distinct repositories and owners, whether a key word or pattern names it, and its class.
 
-    Distinct counts are made by grouping twice, each time combined before the shuffle, so a value that every document
+    Distinct counts are made by grouping step by step, each time combined before the shuffle, so a value that every document
     holds is no hot group.
     """
     none = F.lit("")
-    each = found.groupBy("value", F.coalesce("owner", none).alias("owner"), F.coalesce("repository", none).alias("repository")).agg(
-        F.max(F.col("kind") != 3).alias("named"), F.max("bits").alias("bits"), F.count("*").alias("n")
+    by_text = found.groupBy("value", "text_key").agg(
+        F.min(F.struct(F.coalesce("owner", none).alias("owner"), F.coalesce("repository", none).alias("repository"))).alias("first"),
+        F.max(F.col("kind") != 3).alias("named"), F.max("bits").alias("bits"), F.count("*").alias("n"),
+    )
+    each = by_text.groupBy("value", F.col("first.owner").alias("owner"), F.col("first.repository").alias("repository")).agg(
+        F.max("named").alias("named"), F.max("bits").alias("bits"), F.sum("n").alias("n")
     )
     by_owner = each.groupBy("value", "owner").agg(
         F.count("*").alias("repositories"), F.max("named").alias("named"), F.max("bits").alias("bits"), F.sum("n").alias("n")
     )
     return by_owner.groupBy("value").agg(
-        F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.max("named").alias("named"),
+        F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.max("repositories").alias("main"), F.max("named").alias("named"),
         F.max("bits").alias("bits"), F.sum("n").alias("occurrences"),
     ).withColumn(
         "class",
-        F.when(F.col("owners") >= copied_owners, "copied").when(F.col("bits") >= live_bits, "live").otherwise("weak"),
+        F.when((F.col("owners") >= copied_owners) & (F.col("main") <= main_share * F.col("repositories")), "copied").when(F.col("bits") >= live_bits, "live").otherwise("weak"),
     )
 
 

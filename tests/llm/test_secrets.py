@@ -40,7 +40,7 @@ def test_base_spans_of_the_table_and_of_hard_texts(spark, awkward):
 
 
 def test_ownership_and_reuse(spark):
-    rows = [(i, 'token = "ExampleExample1234"', f"o{i}") for i in range(5)]
+    rows = [(i, f'token = "ExampleExample1234" text {i}', f"o{i}") for i in range(5)]
     rows += [(10, 'token = "4f9aQ7zz81KdLw0pXr"', "o1"), (11, "see 4f9aQ7zz81KdLw0pXr there", "o1"), (12, "unnamed 4f9aQ7zz81KdLw0pXs", "o2")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = {r["doc_id"]: r for r in secrets.find_secrets(docs, F.col("doc_id"), F.col("source")).collect()}
@@ -50,10 +50,20 @@ def test_ownership_and_reuse(spark):
     assert {(r["owners"], r["repositories"], r["class"]) for r in told.where("named").collect()} == {(5, 5, "copied"), (1, 2, "live")}
 
 
+def test_copies_of_a_text_and_one_main_owner_make_no_example(spark):
+    copy = [(i, 'token = "4f9aQ7zz81KdLw0pXr"', f"o{i}") for i in range(9)]
+    main = [(100 + i, f'token = "7c1bQ7zz81KdLw0pXr" text {i}', "o1" if i > 1 else f"p{i}") for i in range(40)]
+    docs = spark.createDataFrame(copy + main, "doc_id long, text string, source string")
+    told = secrets.ownership(secrets.candidates(secrets.scan(docs, F.col("doc_id"), F.col("source"))))
+    assert {(r["owners"], r["repositories"], r["occurrences"], r["class"]) for r in told.where("named").collect()} == {
+        (1, 1, 9, "live"), (3, 40, 40, "live")}
+    assert secrets.redact(docs, F.col("doc_id"), F.col("source")).where("text like '%QQ7zz%' or text like '%Q7zz%'").count() == 0
+
+
 def test_redaction(spark, awkward, no_documents):
     docs = spark.createDataFrame(
         [(1, 'a token = "4f9aQ7zz81KdLw0pXr" b', "o1", 9), (2, "clean text", "o1", 10), (3, "bare 4f9aQ7zz81KdLw0pXr!", "o2", 0), (4, None, None, None)]
-        + [(10 + i, 'token = "ExampleExample1234"', f"o{i}", 1) for i in range(4)], "doc_id long, text string, source string, n_chars long")
+        + [(10 + i, f'token = "ExampleExample1234" text {i}', f"o{i}", 1) for i in range(4)], "doc_id long, text string, source string, n_chars long")
     left = {r["doc_id"]: r for r in secrets.redact(docs, F.col("doc_id"), F.col("source")).collect()}
     assert left[1]["text"] == 'a <secret>" b' and left[1]["n_chars"] == 13
     assert left[2]["text"] == "clean text" and left[3]["text"] == "bare <secret>!" and left[4]["text"] is None
