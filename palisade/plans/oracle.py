@@ -703,6 +703,13 @@ BODIES |= {
       SELECT make_timestamp((epoch_us(ts) // 21600000000 - j) * 21600000000) AS s, src, dst, count(*) AS n,
         CAST(sum(bytes_transferred) AS BIGINT) AS bytes
       FROM flows, (SELECT unnest(range(4)) AS j) GROUP BY 1, 2, 3) WHERE s + INTERVAL 24 HOURS <= {_NOW} - INTERVAL 1 HOUR""",
+    "stream_sliding_balance": f"""SELECT s AS start, s + INTERVAL 24 HOURS AS "end", src, dst, count(*) AS arrived,
+        count(*) FILTER (kept AND closed) AS emitted, count(*) FILTER (kept AND NOT closed) AS open, count(*) FILTER (NOT kept) AS dropped FROM (
+      SELECT *, coalesce(s + INTERVAL 24 HOURS > prior - INTERVAL 1 HOUR, true) AS kept, s + INTERVAL 24 HOURS <= {_NOW} - INTERVAL 1 HOUR AS closed FROM (
+        SELECT f.src, f.dst, p.prior, make_timestamp((epoch_us(f.ts) // 21600000000 - j) * 21600000000) AS s
+        FROM (SELECT *, least(3, (day(ts) - 1) // 8 + CASE WHEN port = 22 THEN 1 ELSE 0 END) AS a FROM flows) f
+        JOIN (SELECT b, (SELECT max(ts) FROM tel WHERE least(3, (day(ts) - 1) // 8 + CASE WHEN port = 22 THEN 1 ELSE 0 END) < b) AS prior
+          FROM (SELECT unnest(range(4)) AS b)) p ON p.b = f.a, (SELECT unnest(range(4)) AS j))) GROUP BY 1, 2, 3, 4""",
     "stream_late_events": """SELECT event_id, CAST(a AS INTEGER) AS batch_id, coalesce(ts < prior - INTERVAL 1 HOUR, false) AS late FROM (
       SELECT *, (SELECT max(ts) FROM tel o WHERE least(3, (day(o.ts) - 1) // 8 + CASE WHEN o.port = 22 THEN 1 ELSE 0 END) < a) AS prior FROM (
         SELECT *, least(3, (day(ts) - 1) // 8 + CASE WHEN port = 22 THEN 1 ELSE 0 END) AS a FROM tel))""",

@@ -784,10 +784,22 @@ def stream_sliding_counts(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{folder}/out").select(*_t("start", "end"), "src", "dst", "n", "bytes")
 
 
+def _tardy() -> Column:
+    """Slice of arrival when the rows of port 22 come a slice late."""
+    return F.least(F.lit(SLICES - 1), _slice_of() + F.when(F.col("port") == 22, 1).otherwise(0))
+
+
+@query
+def stream_sliding_balance(t: Tables) -> DataFrame:
+    """Emitted, open and dropped rows of each window and pair, with rows that come late."""
+    folder = _arrive(t, lambda s, f: jobs.sliding_counts(s, f"{f}/out", f"{f}/ck"), _tardy())
+    found = jobs.sliding_balance(t.spark.read.parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/ck")
+    return found.select(*_t("start", "end"), "src", "dst", "arrived", "emitted", "open", "dropped")
+
+
 @query
 def stream_late_events(t: Tables) -> DataFrame:
-    tardy = F.when(F.col("port") == 22, 1).otherwise(0)
-    arrival = F.least(F.lit(SLICES - 1), _slice_of() + tardy)
+    arrival = _tardy()
     folder = _arrive(t, lambda s, f: jobs.split_late(s, f"{f}/out", f"{f}/ck", 3_600_000_000), arrival)
     return t.spark.read.parquet(f"{folder}/out/rows").select("event_id", "batch_id", "late")
 

@@ -91,6 +91,18 @@ def test_late_rows_name_a_node_as_in_batch(spark, tmp_path):
     assert [r["ip_address"] for r in jobs.merged_nodes(spark, f"{tmp_path}/nodes").where("node_id = 'n'").collect()] == ["early-ip"]
 
 
+def test_rows_behind_a_closed_window_are_counted_as_dropped(spark, tmp_path):
+    day = 86_400
+    parts = [_events(spark, [(0, "a", "b", "x"), (10 * day, "a", "b", "x")]), _events(spark, [(5, "a", "b", "x"), (10 * day + 5, "a", "b", "x")])]
+    for part in parts:
+        part.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{tmp_path}/in")
+        jobs.drain(jobs.sliding_counts(stream, f"{tmp_path}/out", f"{tmp_path}/ck"))
+    found = jobs.sliding_balance(spark.read.parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck")
+    got = [(r["arrived"], r["emitted"], r["open"], r["dropped"]) for r in found.orderBy("start").collect()]
+    assert got == [(2, 1, 0, 1)] * 4 + [(2, 0, 2, 0)] * 4  # a row lies in four windows
+
+
 def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     part = _events(spark, [(0, "a", "b", "x"), (1, "a", "b", "x")])
     for _ in range(2):
