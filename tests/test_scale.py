@@ -5,7 +5,7 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from palisade.config import DEFAULT, Settings
-from palisade.operators import centrality
+from palisade.operators import centrality, features, graph
 from palisade.operators.skew import hubs, renamed
 from palisade.plans.tables import Tables
 
@@ -52,3 +52,13 @@ def test_bulk_edges_with_null_and_repeated_keys(spark, tmp_path):
         ("c-7", "s-3"), ("s-3", "p-5"), ("c-7", "p-5"), ("c-7", None), (None, "p-5"), (None, "s-3"), ("s-3", None), (None, None),
     }
     assert got == sorted(want, key=str)
+
+
+def test_features_are_assembled_from_stored_blocks(spark, no_broadcast):
+    """The last stage only joins; its tasks hold no buffers of the aggregations over edges and rows."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    activity = graph.node_windows(t.tel)
+    made = features.assemble(t.nodes, t.weighted, activity, t.as_of)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan, plan
+    assert made.count() == t.nodes.count()
