@@ -1,5 +1,7 @@
 """Plans and table forms that keep large graphs within limits."""
 
+import threading
+
 import pytest
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from palisade.config import DEFAULT, Settings
 from palisade.operators import centrality, features, graph
 from palisade.operators.skew import hubs, renamed
-from palisade.plans.tables import Tables
+from palisade.plans.tables import PASSES, Tables
 
 
 @pytest.fixture
@@ -62,3 +64,17 @@ def test_features_are_assembled_from_stored_blocks(spark, no_broadcast):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan, plan
     assert made.count() == t.nodes.count()
+
+
+def test_folds_of_passes_run_at_the_same_time(spark, monkeypatch):
+    """The rule passes wait for each other, their folds do not: each waits here until all have begun."""
+    began = threading.Barrier(PASSES)
+
+    def fold(seen):
+        began.wait(60)
+        return fold_edges(seen)
+
+    fold_edges = graph.fold_edges
+    monkeypatch.setattr(graph, "fold_edges", fold)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert t.pass_scores.select("as_of").distinct().count() == PASSES
